@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuschain.llm import components, survivor
+from corpuschain.llm import components, survivor, visual
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return visual.canonical_values(table(spark, sf, "hadith"), "id", ["matn", "isnad", "matn_norm"], changed_only=True).select("id", "field")
+
+
+def p2_values(spark: SparkSession, sf: str) -> DataFrame:
+    """All values in their consistent form."""
+    return visual.canonical_values(table(spark, sf, "hadith"), "id", ["matn", "isnad", "matn_norm"])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.surviving_entries(p5_records(spark, sf))
 
@@ -25,7 +34,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p2_values": p2_values, "p5_found": p5_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
