@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuschain.llm import components, survivor, visual
+from corpuschain.llm import components, survivor, truncation, visual
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,19 @@ def p2_values(spark: SparkSession, sf: str) -> DataFrame:
     return visual.canonical_values(table(spark, sf, "hadith"), "id", ["matn", "isnad", "matn_norm"])
 
 
+def p4_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.judge(table(spark, sf, "hadith"), "id", "book_id", ["matn", "isnad"], value_ends=["isnad"])
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_judged(spark, sf).where("reason IS NOT NULL").select("id", "field")
+
+
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each book truncates."""
+    return truncation.rates(p4_judged(spark, sf), "book_id")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.surviving_entries(p5_records(spark, sf))
 
@@ -34,7 +47,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_values": p2_values, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
