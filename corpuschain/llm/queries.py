@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuschain.llm import components, survivor, truncation, visual
+from corpuschain.llm import components, stuffing, survivor, truncation, visual
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +46,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.components(table(spark, sf, "hadith_match"), "id_a", "id_b", table(spark, sf, "hadith"), "id")
 
 
+def p10_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page with its share of non-sentence shapes."""
+    return stuffing.pages(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_pages(spark, sf).where("flagged").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_pages": p10_pages}
 
 
 def oracle_sql() -> dict[str, str]:
