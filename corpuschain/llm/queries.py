@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuschain.llm import components, stuffing, survivor, truncation, visual
+from corpuschain.llm import components, leakage, stuffing, survivor, truncation, visual
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,20 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.components(table(spark, sf, "hadith_match"), "id_a", "id_b", table(spark, sf, "hadith"), "id")
 
 
+def p8_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Each leaked passage with its place in the document and in the item."""
+    return leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_item"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_hits(spark, sf).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which items leaked, into how many documents."""
+    return leakage.leaked_items(p8_hits(spark, sf), table(spark, sf, "eval_item"), "item_id")
+
+
 def p10_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every page with its share of non-sentence shapes."""
     return stuffing.pages(table(spark, sf, "documents"), "doc_id", "text")
@@ -56,7 +70,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_pages": p10_pages}
+    return {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p10_found": p10_found, "p10_pages": p10_pages}
 
 
 def oracle_sql() -> dict[str, str]:
