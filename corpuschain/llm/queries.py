@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuschain.llm import components, leakage, stuffing, survivor, truncation, visual
+from corpuschain.llm import components, leakage, neighbours, stuffing, survivor, truncation, visual
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def p2_values(spark: SparkSession, sf: str) -> DataFrame:
     return visual.canonical_values(table(spark, sf, "hadith"), "id", ["matn", "isnad", "matn_norm"])
 
 
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar vectors of each."""
+    return neighbours.neighbours(table(spark, sf, "vec"), "id", "v", 5)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.unordered_pairs(p3_neighbours(spark, sf))
+
+
 def p4_judged(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.judge(table(spark, sf, "hadith"), "id", "book_id", ["matn", "isnad"], value_ends=["isnad"])
 
@@ -70,7 +79,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p10_found": p10_found, "p10_pages": p10_pages}
+    return {"p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p10_found": p10_found, "p10_pages": p10_pages}
 
 
 def oracle_sql() -> dict[str, str]:
