@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuschain.llm import components, leakage, neighbours, stuffing, survivor, truncation, visual
+from corpuschain.llm import components, leakage, linkage, neighbours, stuffing, survivor, truncation, visual
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_persons(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seed record with the person it names."""
+    return linkage.persons(table(spark, sf, "seed"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.same_person(p1_persons(spark, sf))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return visual.canonical_values(table(spark, sf, "hadith"), "id", ["matn", "isnad", "matn_norm"], changed_only=True).select("id", "field")
 
@@ -79,7 +88,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p10_found": p10_found, "p10_pages": p10_pages}
+    return {"p1_found": p1_found, "p1_persons": p1_persons, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p10_found": p10_found, "p10_pages": p10_pages}
 
 
 def oracle_sql() -> dict[str, str]:
