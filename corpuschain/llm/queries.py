@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuschain.llm import components, leakage, linkage, neighbours, stuffing, survivor, truncation, visual
+from corpuschain.llm import components, leakage, linkage, mixture, neighbours, stuffing, survivor, truncation, visual
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,16 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(p8_hits(spark, sf), table(spark, sf, "eval_item"), "item_id")
 
 
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixed blocks of tokens."""
+    return mixture.mixture(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixture.mixture(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_target"))[1]
+
+
 def p10_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every page with its share of non-sentence shapes."""
     return stuffing.pages(table(spark, sf, "documents"), "doc_id", "text")
@@ -88,7 +98,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_persons": p1_persons, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p10_found": p10_found, "p10_pages": p10_pages}
+    return {"p1_found": p1_found, "p1_persons": p1_persons, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pages": p10_pages}
 
 
 def oracle_sql() -> dict[str, str]:
