@@ -254,6 +254,7 @@ def mixture(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataF
     wanted = targets.where(F.col("source").isNotNull()).groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     tokens = scratch.cut(tokenised(docs, doc_id, text, source, targets, s), "tokens")
     pieces, sizes = pack(tokens, scratch, s)
+    scratch.drop_all(["tokens"])  # written again, in order
     sizes = scratch.cut(sizes, "sizes")
     # one row for each target source: the list that the caller wrote
     plan = quotas([tuple(r) for r in wanted.orderBy("source").collect()], {r["source"]: r["n_tokens"] for r in sizes.collect()}, s.block)
