@@ -1,0 +1 @@
+"""Plans composed of operators: retrieval, parallels, dossiers and chain verdicts."""

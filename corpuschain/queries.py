@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuschain.operators import skew
+from corpuschain.functions import extract as X
+from corpuschain.functions import grades as G
+from corpuschain.functions import text as T
+from corpuschain.operators import books, entity, graph, overlap, search, skew
+from corpuschain.plans import retrieval
+from corpuschain.sources import io
+from corpuschain.sqltext import bm25_sql, grades_sql, latin_sql, norm_sql, quoted, strip_sql, words_sql
+from corpuschain.streaming import events as stream
 from corpuschain.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return skew.heavy_keys(table(spark, sf, "link"), "teacher", percent=1).select("teacher")
 
@@ -37,11 +43,424 @@ def p7_narrators(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+
+# -- retrieval ------------------------------------------------------------------------------
+
+#: Terms of the searches, rare and common ones; the limits below are those of a top-k report.
+ENGLISH = ["ledger", "orchard", "chain"]
+ARABIC = ["ناسخ", "المعنى", "قريب"]
+SEARCHED = [t.replace("ى", "ي") for t in ARABIC]
+TOGETHER = ["الكتاب", "ذكر"]
+TOP = 20
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    hits = search.bm25(docs, "id", {"text": T.latin_words(F.col("text"))}, ENGLISH, match="or")
+    return _hits(search.ranked(hits, TOP, F.desc("score"), F.asc("id")))
+
+
+def _search(match: str, where=None, fields=None, terms=SEARCHED) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _hits(retrieval.lexical(table(spark, sf, "hadith"), terms, TOP, match, where, fields))
+
+    return run
+
+
+def facets(spark: SparkSession, sf: str) -> DataFrame:
+    """Books and grades of all reports that match any term."""
+    h = table(spark, sf, "hadith")
+    hits = search.bm25(h, "id", search.report_words(), SEARCHED, search.WEIGHTS, "or")
+    return search.facet_counts(h.join(hits.select("id"), "id", "left_semi"), "book_id", "grade")
+
+
+def facets_multi_select(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by language under the other filters, by genre under the other filters."""
+    docs = table(spark, sf, "documents")
+    return search.multi_select_facets(docs, {"lang": F.lower("lang") == "ar", "genre": F.col("genre").isin("web", "misc")}, "lang", "genre", "book_id")
+
+
+def term_df(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return search.term_frequencies(docs, "doc_id", T.latin_words(F.col("text")))
+
+
+def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "hadith").select("id", T.normalize(F.col("matn")).alias("norm"), T.strip_diacritics(F.col("matn")).alias("plain"), T.text_key(F.col("matn")).alias("key"))
+
+
+def kunya_folding(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "seed").select("seed_id", F.array_join(T.fold_kunya(T.words(T.normalize(F.col("name")))), " ").alias("folded"))
+
+
+def html_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_body(F.col("text")).cast("binary")).alias("clean"))
+
+
+def page_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every report whose folded body holds the phrase, with its surroundings."""
+    found = table(spark, sf, "hadith").select("id", T.page_hit(F.col("matn"), "في الكتاب").alias("hit"))
+    return found.where(F.col("hit").isNotNull())
+
+
+def excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    """The words around the first term in every report."""
+    terms = F.array(*map(F.lit, SEARCHED))
+    return table(spark, sf, "hadith").select("id", T.excerpt(F.col("matn"), terms).alias("excerpt"))
+
+
+def chunk_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+def passage_rejoin(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of each document joined again: its words with single spaces."""
+    return books.passages(chunk_passages(spark, sf), ["doc_id"], "pos", "chunk").select("doc_id", F.md5(F.col("text").cast("binary")).alias("words"))
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors nearest to the first one."""
+    vectors = table(spark, sf, "embeddings")
+    query = vectors.orderBy("vec_id").select("embedding").head()
+    return search.vector_top(vectors, "vec_id", "embedding", query["embedding"] if query else [1.0], TOP)
+
+
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rankings of all documents, by length and by title, fused."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "title")
+    one = search.ranked(docs.select("id", "n_chars"), 200, F.desc("n_chars"), F.asc("id"))
+    two = search.ranked(docs.select("id", "title"), 200, F.asc_nulls_last("title"), F.asc("id"))
+    return search.reciprocal_rank_fusion(one, two).select("id", F.round("score", 8).alias("score"))
+
+
+def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
+    h, v = table(spark, sf, "hadith"), table(spark, sf, "vec")
+    query = v.orderBy("id").select("v").head()
+    lexical = retrieval.lexical(h, SEARCHED, 80, "or")
+    return retrieval.hybrid(lexical, v, query["v"] if query else [1.0], retrieval.reports(h), TOP)
+
+
+def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash embeddings of the chapters' words, as their non-zero buckets."""
+    distinct = table(spark, sf, "hadith").select("chapter").where(F.col("chapter").isNotNull()).distinct()
+    return distinct.select("chapter", F.posexplode(search.hash_embedding(T.words(T.normalize(F.col("chapter"))), 64)).alias("bucket", "x")).where("x <> 0").select("chapter", "bucket", F.round("x", 6).alias("x"))
+
+
+def cited_answer(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "hadith")
+    return retrieval.cited_answer(retrieval.lexical(h, SEARCHED, 5), h, table(spark, sf, "book"))
+
+
+# -- parallels ------------------------------------------------------------------------------
+
+def overlap_parallels(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries: every report whose id is divisible by 20, against all reports."""
+    h = table(spark, sf, "hadith")
+    return retrieval.parallels(h, h.where("id % 20 = 0").select("id"), 0.6)
+
+
+def _document_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.word_sets(table(spark, sf, "documents"), "doc_id", T.latin_words(F.col("text")), 10)
+
+
+def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different word sets that overlap by 0.8 or more, under their smallest document."""
+    distinct, _ = overlap.representatives(_document_sets(spark, sf))
+    return overlap.similar_pairs(distinct, 0.8).select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the smallest one of its group of near copies."""
+    distinct, members = overlap.representatives(_document_sets(spark, sf))
+    groups = graph.connected(overlap.similar_pairs(distinct, 0.8)).withColumnRenamed("id", "rep")
+    return members.join(groups, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
+
+
+def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "hadith")
+    hits = retrieval.lexical(h, SEARCHED, 500, "or").join(h.select("id", T.words(T.normalize(F.col("matn"))).alias("words")), "id")
+    return overlap.leaders(hits, "rank", "id", "words")
+
+
+# -- chains and networks --------------------------------------------------------------------
+
+def _sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers of each order in line order, as chains."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chain"), (F.col("l_linenumber") * 10_000_000 + F.col("l_suppkey")).alias("pos"), F.col("l_suppkey").alias("name"))
+
+
+def edge_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.edge_weights(graph.links(_sequences(spark, sf), "chain", "pos", "name"))
+
+
+def node_freq(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.node_frequencies(_sequences(spark, sf), F.col("name"), "pos", "chain", "pos").select("node", "freq", F.col("name").alias("first_pos"))
+
+
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "link").where("teacher <> student").select("teacher", "student")
+    return graph.adjacency(edges).select("node", F.size("neighbours").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").cast("binary")).alias("neighbours"))
+
+
+def neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """All students of the teacher with the most of them, by weight."""
+    edges = table(spark, sf, "link").where("teacher <> student").groupBy("teacher", "student").agg(F.sum(F.coalesce("weight", F.lit(0))).alias("weight"))
+    first = table(spark, sf, "link").where("teacher IS NOT NULL").groupBy("teacher").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "teacher").limit(1).select("teacher")
+    return graph.neighbours(edges, table(spark, sf, "narrator"), "id", "name", first.scalar(), as_teacher=True)
+
+
+def continuity(spark: SparkSession, sf: str) -> DataFrame:
+    """How many links of each order's sequence other orders know."""
+    adjacent = graph.links(_sequences(spark, sf), "chain", "pos", "name")
+    return graph.continuity(adjacent, graph.edge_weights(adjacent).where("weight >= 2"), "chain")
+
+
+def _named_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Flags of each order's lines in line order; open lines have a longer name."""
+    name = F.concat_ws(" ", "l_returnflag", F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), F.col("l_linestatus")))
+    place = F.col("l_linenumber") * 10_000_000 + F.col("l_suppkey")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chain"), F.struct(place, "l_partkey", name).alias("pos"), name.alias("name"))
+
+
+def context_map(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.context_map(_named_sequences(spark, sf), "chain", "pos", "name")
+
+
+def weakest_link(spark: SparkSession, sf: str) -> DataFrame:
+    """The worst discount rank of each order, its unknown and unnamed lines, and the ruling."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chain"), F.when(F.col("l_tax") > 0, F.round(F.col("l_discount") * 100).cast("int")).alias("rank"), (F.col("l_returnflag") == "R").alias("hidden"))
+    worst = graph.weakest(lines, "chain", "rank", "hidden")
+    return worst.select("*", graph.ruling(F.col("weakest"), F.col("n_unknown"), F.col("n_unnamed"), F.col("n_known") >= 3).alias("ruling"))
+
+
+def max_min_strength(spark: SparkSession, sf: str) -> DataFrame:
+    """For each customer the best of their orders' worst discounts."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return graph.strength(lines.withColumn("rank", F.round(F.col("l_discount") * 100).cast("int")), ["o_custkey"], "l_orderkey", "rank")
+
+
+def isnad_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """The narrators of every chain."""
+    return table(spark, sf, "hadith").select("id", F.posexplode(X.narrators(True)(F.col("isnad"))).alias("pos", "n")).select("id", "pos", "n.*")
+
+
+def isnad_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Teacher and student by search form, with the number of chains that link them."""
+    named = isnad_chains(spark, sf).select("id", "pos", "route_start", T.normalize(F.col("name")).alias("name"))
+    return graph.edge_weights(graph.links(named, "id", "pos", "name", "route_start"))
+
+
+def report_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Chain and body joined and taken apart again."""
+    h = table(spark, sf, "hadith")
+    return h.select("id", X.report_parts(F.concat_ws(" ", "isnad", "matn")).alias("r")).select("id", "r.*")
+
+
+# -- books ----------------------------------------------------------------------------------
+
+def collections_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    named = table(spark, sf, "hadith").join(table(spark, sf, "book").select(F.col("id").alias("book_id"), "name"), "book_id", "left")
+    return books.collections(named, "book_id", "id", "name").withColumn("name", F.coalesce("name", F.col("book_id").cast("string")))
+
+
+def chapter_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return books.chapters(table(spark, sf, "hadith").withColumn("number", F.col("number").cast("string")), "book_id", "chapter", "number", "page_id", "id")
+
+
+def topk_paged(spark: SparkSession, sf: str) -> DataFrame:
+    return books.paged(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 40, 20, F.desc("o_totalprice"), F.asc("o_orderkey"))
+
+
+def inherit_previous(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "hadith").select("id", "book_id", "chapter")
+    return books.inherited(h, "book_id", ["id"], "chapter", F.col("chapter").isNull())
+
+
+def running_max(spark: SparkSession, sf: str) -> DataFrame:
+    return books.running_max(table(spark, sf, "hadith").select("id", "book_id", "number"), "book_id", ["id"], "number", "highest")
+
+
+def range_end(spark: SparkSession, sf: str) -> DataFrame:
+    starts = table(spark, sf, "hadith").where("page_id IS NOT NULL").select("book_id", "page_id").distinct()
+    return books.ranges(starts, "book_id", "page_id", "last_page")
+
+
+def dense_run(spark: SparkSession, sf: str) -> DataFrame:
+    return books.dense_start(table(spark, sf, "hadith"), "book_id", "id", F.col("grade").isNotNull())
+
+
+def citation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chapter's books with the numbers of its reports."""
+    h = table(spark, sf, "hadith").where("chapter IS NOT NULL").withColumn("collection", F.col("book_id").cast("string"))
+    return books.citation_line(h, "chapter", "collection", "number", "id").select("chapter", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+# -- entities -------------------------------------------------------------------------------
+
+def grade_classify(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "rijal_entry").select("entry_id", G.classify(F.col("grade_text")).alias("g")).select("entry_id", "g.*")
+
+
+def grade_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return grade_classify(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_gap_fill(spark: SparkSession, sf: str) -> DataFrame:
+    entries = table(spark, sf, "rijal_entry").where("person_no IS NOT NULL")
+    return entity.merged_gaps(entries, "person_no", ["entry_id"], ["name", "kunya", "grade_text", "death_year", "source"])
+
+
+def anti_seed(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries whose name words are those of no seed."""
+    tokens = entity.name_tokens(F.col("name"))
+    return entity.not_covered(table(spark, sf, "rijal_entry").select("entry_id", "name"), table(spark, sf, "seed"), tokens, tokens).select("entry_id")
+
+
+def distinctive_books(spark: SparkSession, sf: str) -> DataFrame:
+    """Books in which only one of the narrators with the same given name teaches."""
+    named = table(spark, sf, "narrator").select(F.col("id").alias("teacher"), F.split(T.normalize(F.col("norm")), " ")[0].alias("ism"))
+    taught = table(spark, sf, "link").where("teacher IS NOT NULL").select("teacher", "book_id").distinct()
+    return entity.distinctive(taught.join(named, "teacher"), "ism", "teacher", "book_id")
+
+
+def block_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different names with the same own name and father, with the number of shared words."""
+    folded = T.normalize(F.col("name"))
+    named = table(spark, sf, "rijal_entry").select("entry_id", folded.alias("name")).where("name <> ''").groupBy("name").agg(F.min("entry_id").alias("id"))
+    pairs = entity.block_pairs(named.withColumn("tokens", entity.name_tokens(F.col("name"))), "id", entity.ident_key(F.col("name")), ["tokens"])
+    return pairs.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("bigint").alias("shared"))
+
+
+def opinion_sets(spark: SparkSession, sf: str) -> DataFrame:
+    kept = entity.opinions_by_source(table(spark, sf, "seed"), "seed_id", "opinions")
+    return kept.select("seed_id", F.size("opinions").cast("bigint").alias("n_sources"), "disputed")
+
+
+def name_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every different name of the entries looked up among the names of the persons."""
+    words = T.words(T.normalize(F.col("name")))
+    entries = table(spark, sf, "rijal_entry").select("entry_id", "person_no", words.alias("tokens")).where(F.size("tokens") > 0)
+    asked = entries.groupBy("tokens").agg(F.min("entry_id").alias("q")).select("q", "tokens")
+    forms = entries.where("person_no IS NOT NULL").select(F.col("person_no").alias("entry"), "tokens").distinct()
+    return entity.lookup(asked, forms)
+
+
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Narrators that teach, learn, both or neither: nodes, and their share of all links."""
+    links = table(spark, sf, "link")
+    taught = links.where("teacher IS NOT NULL").groupBy(F.col("teacher").alias("id")).agg(F.count(F.lit(1)).alias("n_t"))
+    learnt = links.where("student IS NOT NULL").groupBy(F.col("student").alias("id")).agg(F.count(F.lit(1)).alias("n_s"))
+    role = F.when(F.col("n_t").isNotNull() & F.col("n_s").isNotNull(), "both").when(F.col("n_t").isNotNull(), "teacher").when(F.col("n_s").isNotNull(), "student").otherwise("neither")
+    every = table(spark, sf, "narrator").select("id", "freq").join(taught, "id", "left").join(learnt, "id", "left")
+    return every.groupBy(role.alias("role")).agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("freq"), F.lit(0)).alias("freq"), F.sum(F.coalesce("n_t", F.lit(0)) + F.coalesce("n_s", F.lit(0))).alias("links"))
+
+
+def flag_body(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "hadith").select("id", F.array_join(X.body_flags(F.col("matn"), F.col("isnad")), "").alias("flags"))
+
+
+def report_grades(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "hadith").select("id", G.bare_grade(F.col("grade")).alias("bare"), G.report_grade(F.concat(F.lit("["), F.col("grade"), F.lit("]"))).alias("bracketed"))
+
+
+def incremental_embed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What an incremental run over the bodies finds in a cache of the folded bodies."""
+    h = table(spark, sf, "hadith")
+    cache = h.where("matn_norm IS NOT NULL").select(io.cache_key(F.col("matn_norm"), "hash", 64).alias("h"))
+    return io.cache_counts(h, cache, "matn", "hash", 64)
+
+
+# -- extension: windows over events ---------------------------------------------------------
+
+def events_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    return stream.tumbling(table(spark, sf, "events"), "1 day")
+
+
+def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return stream.sessions(table(spark, sf, "events"), "6 hours")
+
+
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found, "p7_teachers": p7_teachers, "p7_narrators": p7_narrators}
+    plain = [
+        p7_found,
+        p7_teachers,
+        p7_narrators,
+        bm25_topk,
+        facets,
+        facets_multi_select,
+        term_df,
+        text_normalize,
+        kunya_folding,
+        html_clean,
+        page_search,
+        excerpts,
+        chunk_passages,
+        passage_rejoin,
+        vector_topk,
+        rrf_fusion,
+        hybrid_topk,
+        hash_embed,
+        cited_answer,
+        overlap_parallels,
+        near_dup_pairs,
+        near_dup_components,
+        leader_clusters,
+        edge_weights,
+        node_freq,
+        adjacency,
+        neighbours,
+        continuity,
+        context_map,
+        weakest_link,
+        max_min_strength,
+        isnad_chains,
+        isnad_edges,
+        report_split,
+        collections_ordered,
+        chapter_counts,
+        topk_paged,
+        inherit_previous,
+        running_max,
+        range_end,
+        dense_run,
+        citation_lines,
+        grade_classify,
+        grade_distribution,
+        merge_gap_fill,
+        anti_seed,
+        distinctive_books,
+        block_pairs,
+        opinion_sets,
+        name_lookup,
+        coverage,
+        flag_body,
+        report_grades,
+        incremental_embed_counts,
+        events_tumbling,
+        events_sessions,
+    ]
+    weak = F.col("grade") == "ضعيف"
+    return {f.__name__: f for f in plain} | {
+        "search_or": _search("or"),
+        "search_and": _search("and", terms=TOGETHER),
+        "search_auto": _search("auto"),
+        "search_filtered": _search("or", weak),
+        "search_in_field": _search("or", None, ["matn"]),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    words = {f: words_sql(norm_sql(f)) for f in ("matn", "chapter", "isnad")}
+    body = "coalesce(kind, 'hadith') = 'hadith' AND trim(matn) <> ''"
+    found = lambda match, keep=body, terms=SEARCHED: bm25_sql("hadith", words, terms, search.WEIGHTS, match, keep, TOP)
+    any_term = " OR ".join(f"list_has_any({w}, [{', '.join(map(quoted, SEARCHED))}])" for w in words.values())
+    sequences = "SELECT l_orderkey AS chain, l_linenumber * 10000000 + l_suppkey AS pos, l_suppkey AS name FROM lineitem"
+    adjacent = f"SELECT * FROM (SELECT chain, pos, name AS student, lead(name) OVER (PARTITION BY chain ORDER BY pos) AS teacher FROM ({sequences})) WHERE student <> teacher"
+    tokens = lambda c: f"list_sort(list_distinct(list_filter({words_sql(norm_sql(c))}, lambda w: w NOT IN ('بن', 'ابن'))))"
     return {
         "p7_found": "SELECT teacher FROM link WHERE teacher IS NOT NULL GROUP BY teacher HAVING count(*) * 100 >= (SELECT count(*) FROM link)",
         "p7_teachers": """
@@ -59,4 +478,123 @@ def oracle_sql() -> dict[str, str]:
         "p7_narrators": """
             SELECT id, freq, coalesce(n, 0) AS n_rows FROM narrator
             LEFT JOIN (SELECT teacher, count(*) AS n FROM link GROUP BY teacher) ON teacher = id""",
+        "bm25_topk": bm25_sql("(SELECT doc_id AS id, text FROM documents)", {"text": latin_sql("text")}, ENGLISH, {"text": 1.0}, "or", "true", TOP),
+        "search_or": found("or"),
+        "search_and": found("and", terms=TOGETHER),
+        "search_auto": found("auto"),
+        "search_filtered": found("or", body + " AND grade = 'ضعيف'"),
+        "facets": f"""
+            WITH m AS (SELECT * FROM hadith WHERE {any_term})
+            SELECT 'book_id' AS facet, CAST(book_id AS VARCHAR) AS value, count(*) AS n FROM m WHERE book_id IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT 'grade', grade, count(*) FROM m WHERE grade IS NOT NULL GROUP BY ALL""",
+        "facets_multi_select": """
+            SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE genre IN ('web', 'misc') AND lang IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT 'genre', genre, count(*) FROM documents WHERE lower(lang) = 'ar' AND genre IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT 'book_id', CAST(book_id AS VARCHAR), count(*) FROM documents WHERE genre IN ('web', 'misc') AND lower(lang) = 'ar' AND book_id IS NOT NULL GROUP BY ALL""",
+        "term_df": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({latin_sql('text')})) AS term FROM documents) GROUP BY term",
+        "text_normalize": f"SELECT id, {norm_sql('matn')} AS norm, {strip_sql('matn')} AS plain, sha256({norm_sql('matn')}) AS key FROM hadith",
+        "page_search": f"""
+            WITH p AS (SELECT id, {norm_sql('matn')} AS t, instr({norm_sql('matn')}, 'في الكتاب') AS hit_at FROM hadith),
+            q AS (SELECT *, greatest(hit_at - 40, 1) AS s FROM p WHERE hit_at > 0), r AS (SELECT *, substring(t, s, hit_at - s + 49) AS piece FROM q)
+            SELECT id, CASE WHEN s > 1 THEN '…' ELSE '' END || piece || CASE WHEN s + length(piece) <= length(t) THEN '…' ELSE '' END AS hit FROM r""",
+        "passage_rejoin": r"""
+            SELECT doc_id, md5(trim(regexp_replace(trim(text), '[ \t\n\x0b\f\r]+', ' ', 'g'))) AS words FROM documents
+            WHERE text IS NOT NULL AND trim(regexp_replace(trim(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) <> ''""",
+        "html_clean": f"""
+            SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'),
+                   '&[A-Za-z]+;|&#[0-9]+;', ' ', 'g'), '[\\(\\[]\\s*[0-9\\x{{660}}-\\x{{669}}]{{1,3}}\\s*[\\)\\]]', '', 'g'), {quoted(T.SPACES)}, ' ', 'g'))) AS clean FROM documents""",
+        "vector_topk": f"""
+            WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1)
+            SELECT vec_id AS id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score FROM embeddings, q
+            ORDER BY score DESC, id LIMIT {TOP}""",
+        "rrf_fusion": """
+            WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+            b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY title NULLS LAST, doc_id) AS r FROM documents)
+            SELECT id, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT * FROM a WHERE r <= 200 UNION ALL SELECT * FROM b WHERE r <= 200) GROUP BY id""",
+        "overlap_parallels": f"""
+            WITH w AS (SELECT id, book_id, coalesce(number, -id) AS slot, list_distinct({words['matn']}) AS ws FROM hadith WHERE {body}),
+            t AS (SELECT id, book_id, slot, len(ws) AS m, unnest(ws) AS word FROM w),
+            s AS (SELECT a.id AS q, b.id AS id, any_value(b.book_id) AS book_id, any_value(b.slot) AS slot, count(*) / least(any_value(a.m), any_value(b.m)) AS o
+                  FROM t a JOIN t b USING (word) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY a.id, b.id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY q, book_id, slot ORDER BY o DESC, id) AS r FROM s WHERE round(o, 9) >= 0.6)
+            SELECT q, id, round(o, 3) AS overlap, CASE WHEN round(o, 3) >= 0.85 THEN 'verbatim' WHEN round(o, 3) >= 0.6 THEN 'near' ELSE 'by meaning' END AS label FROM r WHERE r = 1""",
+        "near_dup_pairs": f"""
+            WITH w AS (SELECT doc_id, list_sort(list_distinct({latin_sql('text')})) AS ws FROM documents), k AS (SELECT min(doc_id) AS id, ws FROM w WHERE len(ws) >= 10 GROUP BY ws),
+            t AS (SELECT id, len(ws) AS m, unnest(ws) AS word FROM k),
+            s AS (SELECT a.id AS a, b.id AS b, count(*) / least(any_value(a.m), any_value(b.m)) AS o FROM t a JOIN t b USING (word) WHERE a.id < b.id GROUP BY a.id, b.id)
+            SELECT a, b, round(o, 6) AS overlap FROM s WHERE round(o, 9) >= 0.8""",
+        "edge_weights": f"SELECT teacher, student, count(*) AS weight FROM ({adjacent}) GROUP BY ALL",
+        "node_freq": f"SELECT name AS node, count(*) AS freq, arg_min(pos, [chain, pos]) AS first_pos FROM ({sequences}) GROUP BY name",
+        "adjacency": """
+            WITH e AS (SELECT DISTINCT teacher AS node, student AS other FROM link WHERE teacher <> student UNION SELECT student, teacher FROM link WHERE teacher <> student)
+            SELECT node, count(*) AS n, md5(string_agg(CAST(other AS VARCHAR), ',' ORDER BY other)) AS neighbours FROM e GROUP BY node""",
+        "neighbours": """
+            WITH f AS (SELECT teacher FROM link WHERE teacher IS NOT NULL GROUP BY teacher ORDER BY count(*) DESC, teacher LIMIT 1)
+            SELECT n.id, n.name, sum(coalesce(weight, 0)) AS weight FROM link l JOIN f USING (teacher) JOIN narrator n ON n.id = l.student WHERE teacher <> student GROUP BY n.id, n.name""",
+        "continuity": f"""
+            WITH a AS ({adjacent}), k AS (SELECT teacher, student FROM a GROUP BY ALL HAVING count(*) >= 2)
+            SELECT chain, count(*) AS n_links, count(k.teacher) AS n_seen FROM a LEFT JOIN k ON a.teacher = k.teacher AND a.student = k.student GROUP BY chain""",
+        "context_map": """
+            WITH s AS (SELECT l_orderkey AS chain, l_linenumber * 10000000 + l_suppkey AS pos, l_partkey, concat_ws(' ', l_returnflag, CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN 'O' END) AS name FROM lineitem),
+            w AS (SELECT lag(name) OVER c AS prev, name AS "full", lead(name) OVER c AS next FROM s WINDOW c AS (PARTITION BY chain ORDER BY pos, l_partkey, name)),
+            g AS (SELECT prev, next, "full", count(*) AS n, len(string_split("full", ' ')) AS size FROM w WHERE prev IS NOT NULL AND next IS NOT NULL GROUP BY ALL),
+            m AS (SELECT *, max(size) OVER (PARTITION BY prev, next) AS most FROM g WHERE size >= 2),
+            r AS (SELECT *, count(*) OVER (PARTITION BY prev, next) AS rivals FROM m WHERE size = most)
+            SELECT prev, next, "full", n FROM r WHERE rivals = 1 AND n >= 2""",
+        "weakest_link": """
+            WITH l AS (SELECT l_orderkey AS chain, CASE WHEN l_tax > 0 THEN CAST(round(l_discount * 100) AS INT) END AS rank, l_returnflag = 'R' AS hidden FROM lineitem),
+            g AS (SELECT chain, min(rank) FILTER (NOT hidden) AS weakest, count(rank) FILTER (NOT hidden) AS n_known,
+                         count(*) FILTER (NOT hidden AND rank IS NULL) AS n_unknown, count(*) FILTER (hidden) AS n_unnamed FROM l GROUP BY chain),
+            a AS (SELECT *, CASE WHEN weakest IS NULL THEN 'not ruled' WHEN weakest <= 1 THEN 'very weak' WHEN weakest <= 3 THEN 'weak' WHEN weakest <= 6 THEN 'supporting'
+                                 WHEN weakest <= 8 THEN 'good' ELSE 'sound' END AS x FROM g),
+            b AS (SELECT * REPLACE (CASE WHEN n_unknown > 0 AND x IN ('sound', 'good') THEN 'suspended' ELSE x END AS x) FROM a),
+            c AS (SELECT * REPLACE (CASE WHEN n_unnamed > 0 AND x <> 'very weak' THEN 'weak' ELSE x END AS x) FROM b)
+            SELECT chain, weakest, n_known, n_unknown, n_unnamed, CASE WHEN x = 'sound' AND n_known < 3 THEN 'sound if hearing is confirmed' ELSE x END AS ruling FROM c""",
+        "max_min_strength": """
+            SELECT o_custkey, max(w) AS strength FROM (SELECT o_custkey, l_orderkey, min(CAST(round(l_discount * 100) AS INT)) AS w
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY o_custkey""",
+        "collections_ordered": """
+            SELECT h.book_id, count(*) AS n, min(h.id) AS first_id, coalesce(any_value(b.name), CAST(h.book_id AS VARCHAR)) AS name FROM hadith h LEFT JOIN book b ON b.id = h.book_id GROUP BY h.book_id""",
+        "chapter_counts": "SELECT book_id, chapter, count(*) AS n, min(coalesce(number, page_id)) AS first_number, min(id) AS first_id FROM hadith GROUP BY ALL",
+        "topk_paged": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40",
+        "inherit_previous": """
+            SELECT id, book_id, coalesce(chapter, last_value(chapter IGNORE NULLS) OVER (PARTITION BY book_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS chapter FROM hadith""",
+        "running_max": "SELECT id, book_id, number, max(number) OVER (PARTITION BY book_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS highest FROM hadith",
+        "range_end": """
+            SELECT book_id, page_id, greatest(lead(page_id) OVER (PARTITION BY book_id ORDER BY page_id) - 1, page_id) AS last_page
+            FROM (SELECT DISTINCT book_id, page_id FROM hadith WHERE page_id IS NOT NULL)""",
+        "dense_run": """
+            SELECT book_id, min(id) AS first FROM (SELECT book_id, id, count(grade) OVER (PARTITION BY book_id ORDER BY id ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS n FROM hadith)
+            WHERE n >= 12 GROUP BY book_id""",
+        "citation_lines": """
+            WITH p AS (SELECT chapter, CAST(book_id AS VARCHAR) AS c, min(id) AS f, list_sort(list_distinct(list(number) FILTER (number IS NOT NULL))) AS ns FROM hadith WHERE chapter IS NOT NULL GROUP BY ALL)
+            SELECT chapter, md5(string_agg(c || CASE WHEN len(ns) > 0 THEN ' ' || array_to_string(ns, ', ') ELSE '' END, '; ' ORDER BY f)) AS line FROM p GROUP BY chapter""",
+        "grade_classify": grades_sql("rijal_entry", "entry_id", "grade_text"),
+        "grade_distribution": f"SELECT category, count(*) AS n FROM ({grades_sql('rijal_entry', 'entry_id', 'grade_text')}) GROUP BY category",
+        "merge_gap_fill": "SELECT person_no, count(*) AS n, " + ", ".join(f"arg_min({c}, entry_id) AS {c}" for c in ("name", "kunya", "grade_text", "death_year", "source")) + " FROM rijal_entry WHERE person_no IS NOT NULL GROUP BY person_no",
+        "anti_seed": f"SELECT entry_id FROM rijal_entry WHERE coalesce(array_to_string({tokens('name')}, ' '), chr(1)) NOT IN (SELECT coalesce(array_to_string({tokens('name')}, ' '), chr(2)) FROM seed)",
+        "distinctive_books": f"""
+            WITH n AS (SELECT id AS teacher, string_split({norm_sql('norm')}, ' ')[1] AS ism FROM narrator),
+            o AS (SELECT DISTINCT ism, teacher, book_id FROM link JOIN n USING (teacher) WHERE book_id IS NOT NULL)
+            SELECT ism, min(teacher) AS teacher, book_id FROM o GROUP BY ism, book_id HAVING count(*) = 1""",
+        "opinion_sets": """
+            WITH o AS (SELECT seed_id, unnest(opinions) AS o, generate_subscripts(opinions, 1) AS pos FROM seed),
+            k AS (SELECT seed_id, o.source AS s, arg_min(o.grade, pos) AS g FROM o WHERE o.source IS NOT NULL AND o.grade IS NOT NULL GROUP BY ALL)
+            SELECT seed_id, count(*) AS n_sources, count(DISTINCT g) >= 2 AS disputed FROM k GROUP BY seed_id""",
+        "coverage": """
+            WITH e AS (SELECT id, freq, (SELECT count(*) FROM link WHERE teacher = n.id) AS t, (SELECT count(*) FROM link WHERE student = n.id) AS s FROM narrator n)
+            SELECT CASE WHEN t > 0 AND s > 0 THEN 'both' WHEN t > 0 THEN 'teacher' WHEN s > 0 THEN 'student' ELSE 'neither' END AS role,
+                   count(*) AS nodes, CAST(coalesce(sum(freq), 0) AS BIGINT) AS freq, CAST(sum(t + s) AS BIGINT) AS links FROM e GROUP BY role""",
+        "report_grades": f"""
+            SELECT id, nullif(regexp_extract({strip_sql('grade')}, '({'|'.join(G.REPORT_GRADES)})', 1), '') AS bare,
+                   nullif(regexp_extract({strip_sql("('[' || grade || ']')")}, '[\\[(]\\s*({'|'.join(G.REPORT_GRADES)})\\s*[\\])]', 1), '') AS bracketed FROM hadith""",
+        "incremental_embed_counts": """
+            WITH c AS (SELECT DISTINCT sha1('hash:64' || chr(0) || matn_norm) AS h FROM hadith WHERE matn_norm IS NOT NULL),
+            k AS (SELECT sha1('hash:64' || chr(0) || matn) AS h, count(*) AS n FROM hadith WHERE matn IS NOT NULL GROUP BY h)
+            SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, count(*) FILTER (c.h IS NULL) AS new, CAST(coalesce(sum(n) FILTER (c.h IS NOT NULL), 0) AS BIGINT) AS reused FROM k LEFT JOIN c USING (h)""",
+        "events_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+        "events_sessions": """
+            WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+            s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+            SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
     }
