@@ -50,23 +50,25 @@ def bm25(df: DataFrame, key: str, columns: Mapping[str, Column], terms: Sequence
     """
     terms = list(dict.fromkeys(terms))
     weights = weights or dict.fromkeys(columns, 1.0)
-    size = lengths(df, key, columns)
-    totals = size.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    n, mean = totals.select("n").scalar(), totals.select("mean").scalar()
-
-    # the words are filtered before they are exploded, so only the query's terms leave the scan
-    asked = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    searched = {f: w for f, w in columns.items() if not fields or f in fields}
-    own = {f: F.filter(w, lambda t: F.array_contains(asked, t)) for f, w in searched.items()}
-    found = postings(df, key, own)
-    weight = F.element_at(F.create_map(*[F.lit(x) for f in searched for x in (f, float(weights.get(f, 1.0)))]), F.col("field"))
-    per_term = found.groupBy("id", "term").agg(F.sum(weight * F.col("tf")).alias("f"))
+    # each column's words are computed once a row; only the query's terms are exploded
+    split = df.select(F.col(key).alias("id"), *[words.alias(f"w_{f}") for f, words in columns.items()])
+    sizes = [F.coalesce(F.size(f"w_{f}"), F.lit(0)) for f in columns]
+    length = sum(sizes[1:], sizes[0]).cast("bigint")
+    totals = split.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean")).first()  # one row
+    n, mean = F.lit(totals["n"]), F.lit(totals["mean"] or 1.0)
+    hits_of = [
+        F.struct(F.lit(float(weights.get(f, 1.0))).alias("w"), F.coalesce(F.filter(f"w_{f}", lambda t: t.isin(*terms)), F.array().cast("array<string>")).alias("terms"))
+        for f in columns
+        if not fields or f in fields
+    ]
+    found = split.select("id", length.alias("length"), F.inline(F.array(*hits_of))).select("id", "length", "w", F.explode("terms").alias("term"))
+    per_term = found.groupBy("id", "term").agg(F.sum("w").alias("f"), F.first("length").alias("length"))
     spread = per_term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = spread.select("term", F.when(idf > 0, idf).otherwise(FLOOR).alias("idf"))
-    scored = per_term.join(F.broadcast(rated), "term").join(size, "id")  # as many rows as the query has terms
+    scored = per_term.join(F.broadcast(rated), "term")  # as many rows as the query has terms
     gain = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
-    hits = scored.groupBy("id").agg(F.sum(gain).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    hits = scored.groupBy("id").agg(F.round(F.sum(gain), 9).alias("score"), F.count(F.lit(1)).alias("n_terms"))
     if match == "and":
         return hits.where(F.col("n_terms") == len(terms))
     if match == "auto":

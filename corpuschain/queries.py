@@ -15,7 +15,7 @@ from corpuschain.plans import retrieval
 from corpuschain.sources import io
 from corpuschain.sqltext import bm25_sql, grades_sql, latin_sql, norm_sql, quoted, strip_sql, words_sql
 from corpuschain.streaming import events as stream
-from corpuschain.tables import table
+from corpuschain.tables import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,38 +59,38 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    docs = texts(spark, sf, "documents").withColumnRenamed("doc_id", "id")
     hits = search.bm25(docs, "id", {"text": T.latin_words(F.col("text"))}, ENGLISH, match="or")
     return _hits(search.ranked(hits, TOP, F.desc("score"), F.asc("id")))
 
 
 def _search(match: str, where=None, fields=None, terms=SEARCHED) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _hits(retrieval.lexical(table(spark, sf, "hadith"), terms, TOP, match, where, fields))
+        return _hits(retrieval.lexical(texts(spark, sf, "hadith"), terms, TOP, match, where, fields))
 
     return run
 
 
 def facets(spark: SparkSession, sf: str) -> DataFrame:
     """Books and grades of all reports that match any term."""
-    h = table(spark, sf, "hadith")
+    h = texts(spark, sf, "hadith")
     hits = search.bm25(h, "id", search.report_words(), SEARCHED, search.WEIGHTS, "or")
     return search.facet_counts(h.join(hits.select("id"), "id", "left_semi"), "book_id", "grade")
 
 
 def facets_multi_select(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by language under the other filters, by genre under the other filters."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     return search.multi_select_facets(docs, {"lang": F.lower("lang") == "ar", "genre": F.col("genre").isin("web", "misc")}, "lang", "genre", "book_id")
 
 
 def term_df(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     return search.term_frequencies(docs, "doc_id", T.latin_words(F.col("text")))
 
 
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "hadith").select("id", T.normalize(F.col("matn")).alias("norm"), T.strip_diacritics(F.col("matn")).alias("plain"), T.text_key(F.col("matn")).alias("key"))
+    return texts(spark, sf, "hadith").select("id", T.normalize(F.col("matn")).alias("norm"), T.strip_diacritics(F.col("matn")).alias("plain"), T.text_key(F.col("matn")).alias("key"))
 
 
 def kunya_folding(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,23 +98,23 @@ def kunya_folding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_clean(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_body(F.col("text")).cast("binary")).alias("clean"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(T.clean_body(F.col("text")).cast("binary")).alias("clean"))
 
 
 def page_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every report whose folded body holds the phrase, with its surroundings."""
-    found = table(spark, sf, "hadith").select("id", T.page_hit(F.col("matn"), "في الكتاب").alias("hit"))
+    found = texts(spark, sf, "hadith").select("id", T.page_hit(F.col("matn"), "في الكتاب").alias("hit"))
     return found.where(F.col("hit").isNotNull())
 
 
 def excerpts(spark: SparkSession, sf: str) -> DataFrame:
     """The words around the first term in every report."""
     terms = F.array(*map(F.lit, SEARCHED))
-    return table(spark, sf, "hadith").select("id", T.excerpt(F.col("matn"), terms).alias("excerpt"))
+    return texts(spark, sf, "hadith").select("id", T.excerpt(F.col("matn"), terms).alias("excerpt"))
 
 
 def chunk_passages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("pos", "chunk"))
+    return texts(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("pos", "chunk"))
 
 
 def passage_rejoin(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,14 +131,14 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Two rankings of all documents, by length and by title, fused."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "title")
+    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "title")
     one = search.ranked(docs.select("id", "n_chars"), 200, F.desc("n_chars"), F.asc("id"))
     two = search.ranked(docs.select("id", "title"), 200, F.asc_nulls_last("title"), F.asc("id"))
     return search.reciprocal_rank_fusion(one, two).select("id", F.round("score", 8).alias("score"))
 
 
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    h, v = table(spark, sf, "hadith"), table(spark, sf, "vec")
+    h, v = texts(spark, sf, "hadith"), table(spark, sf, "vec")
     query = v.orderBy("id").select("v").head()
     lexical = retrieval.lexical(h, SEARCHED, 80, "or")
     return retrieval.hybrid(lexical, v, query["v"] if query else [1.0], retrieval.reports(h), TOP)
@@ -146,12 +146,12 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Hash embeddings of the chapters' words, as their non-zero buckets."""
-    distinct = table(spark, sf, "hadith").select("chapter").where(F.col("chapter").isNotNull()).distinct()
+    distinct = texts(spark, sf, "hadith").select("chapter").where(F.col("chapter").isNotNull()).distinct()
     return distinct.select("chapter", F.posexplode(search.hash_embedding(T.words(T.normalize(F.col("chapter"))), 64)).alias("bucket", "x")).where("x <> 0").select("chapter", "bucket", F.round("x", 6).alias("x"))
 
 
 def cited_answer(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "hadith")
+    h = texts(spark, sf, "hadith")
     return retrieval.cited_answer(retrieval.lexical(h, SEARCHED, 5), h, table(spark, sf, "book"))
 
 
@@ -159,12 +159,12 @@ def cited_answer(spark: SparkSession, sf: str) -> DataFrame:
 
 def overlap_parallels(spark: SparkSession, sf: str) -> DataFrame:
     """Queries: every report whose id is divisible by 20, against all reports."""
-    h = table(spark, sf, "hadith")
+    h = texts(spark, sf, "hadith")
     return retrieval.parallels(h, h.where("id % 20 = 0").select("id"), 0.6)
 
 
 def _document_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.word_sets(table(spark, sf, "documents"), "doc_id", T.latin_words(F.col("text")), 10)
+    return overlap.word_sets(texts(spark, sf, "documents"), "doc_id", T.latin_words(F.col("text")), 10)
 
 
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +181,7 @@ def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "hadith")
+    h = texts(spark, sf, "hadith")
     hits = retrieval.lexical(h, SEARCHED, 500, "or").join(h.select("id", T.words(T.normalize(F.col("matn"))).alias("words")), "id")
     return overlap.leaders(hits, "rank", "id", "words")
 
@@ -245,7 +245,7 @@ def max_min_strength(spark: SparkSession, sf: str) -> DataFrame:
 
 def isnad_chains(spark: SparkSession, sf: str) -> DataFrame:
     """The narrators of every chain."""
-    return table(spark, sf, "hadith").select("id", F.posexplode(X.narrators(True)(F.col("isnad"))).alias("pos", "n")).select("id", "pos", "n.*")
+    return texts(spark, sf, "hadith").select("id", F.posexplode(X.narrators(True)(F.col("isnad"))).alias("pos", "n")).select("id", "pos", "n.*")
 
 
 def isnad_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,7 +256,7 @@ def isnad_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_split(spark: SparkSession, sf: str) -> DataFrame:
     """Chain and body joined and taken apart again."""
-    h = table(spark, sf, "hadith")
+    h = texts(spark, sf, "hadith")
     return h.select("id", X.report_parts(F.concat_ws(" ", "isnad", "matn")).alias("r")).select("id", "r.*")
 
 
@@ -302,7 +302,7 @@ def citation_lines(spark: SparkSession, sf: str) -> DataFrame:
 # -- entities -------------------------------------------------------------------------------
 
 def grade_classify(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "rijal_entry").select("entry_id", G.classify(F.col("grade_text")).alias("g")).select("entry_id", "g.*")
+    return texts(spark, sf, "rijal_entry").select("entry_id", G.classify(F.col("grade_text")).alias("g")).select("entry_id", "g.*")
 
 
 def grade_distribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -360,7 +360,7 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flag_body(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "hadith").select("id", F.array_join(X.body_flags(F.col("matn"), F.col("isnad")), "").alias("flags"))
+    return texts(spark, sf, "hadith").select("id", F.array_join(X.body_flags(F.col("matn"), F.col("isnad")), "").alias("flags"))
 
 
 def report_grades(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,7 +44,7 @@ def bm25_sql(source: str, words: dict[str, str], terms: list[str], weights: dict
         p AS (SELECT id, term, sum(w) AS f FROM ({parts}) WHERE term IN ({listed}) GROUP BY id, term),
         d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
         i AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM d, a),
-        h AS (SELECT id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) AS score, count(*) AS n_terms
+        h AS (SELECT id, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score, count(*) AS n_terms
               FROM p JOIN i USING (term) JOIN l USING (id), a GROUP BY id)
         SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank
         FROM h WHERE {need} AND id IN (SELECT id FROM s WHERE {keep}) ORDER BY h.score DESC, id LIMIT {k}"""
