@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,5 +102,53 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_persons": p1_persons, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pages": p10_pages}
 
 
+def _usable_sql(x: str) -> str:
+    """SQL of ``survivor.usable``."""
+    plain = f"regexp_replace(trim(regexp_replace(regexp_replace(lower({x}), {_q(survivor.IGNORABLE)}, '', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g')), {_q(survivor.MARKS)}, '', 'g')"
+    fillers = ", ".join(map(_q, survivor.FILLERS))
+    return f"coalesce(regexp_matches({plain}, '\\p{{L}}') AND {plain} NOT IN ({fillers}) AND NOT regexp_matches({x}, {_q(survivor.DAMAGED)}), false)"
+
+
+def _q(s: str) -> str:
+    """A pattern or text as an SQL literal; escapes in the spelling of RE2."""
+    return "'" + re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", s).replace("'", "''") + "'"
+
+
+def _folded_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(lower({x}), {_q(survivor.IGNORABLE)}, '', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    bare = f"regexp_replace(regexp_replace(name, {_q(survivor.BRACKETED)}, ' ', 'g'), {_q(survivor.BRACKETED)}, ' ', 'g')"
+    odd = "".join(visual.LOOK_ALIKES) + "".join(visual.DIGITS)
+    hidden = r"\x{ad}\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}"
+    spaces = r"\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+    forms = r"\x{fb00}-\x{fb06}\x{fb50}-\x{fbb1}\x{fbd3}-\x{fd3d}\x{fe70}-\x{fefc}\x{ff01}-\x{ffee}"
+    order = "coalesce(trust, 1000000), revised_at DESC NULLS LAST, entry_id"
+    best = lambda field, quality: f"SELECT person_no, '{field}' AS field, first(entry_id ORDER BY {quality} DESC, {order}) FILTER ({quality} > 0) AS entry_id FROM j GROUP BY person_no HAVING count(*) >= 2"
+    return {
+        "p2_found": f"""
+            WITH v AS (SELECT id, unnest(['matn', 'isnad', 'matn_norm']) AS field, unnest([matn, isnad, matn_norm]) AS t FROM hadith)
+            SELECT id, field FROM v WHERE regexp_matches(t, '[{odd}{hidden}{spaces}{forms}]') OR nfc_normalize(t) <> t""",
+        "p3_found": """
+            WITH v AS (SELECT id, CAST(v AS DOUBLE[]) AS v FROM vec), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM v WHERE list_dot_product(v, v) > 0),
+            c AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (a.l * b.l), 9) AS c FROM n a JOIN n b ON a.id <> b.id),
+            r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM c)
+            SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r <= 5""",
+        "p5_found": f"""
+            WITH t AS (SELECT {_folded_sql("unnest(list_append(short_titles, source))")} AS title, trust FROM source_book),
+            s AS (SELECT title, min(trust) AS trust FROM t WHERE title <> '' GROUP BY title),
+            e AS (SELECT *, {bare} AS plain_name FROM rijal_entry WHERE person_no IS NOT NULL),
+            j AS (SELECT person_no, entry_id, revised_at, trust,
+                CASE WHEN {_usable_sql('plain_name')} THEN len(list_filter(string_split({_folded_sql('plain_name')}, ' '), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) ELSE 0 END AS q_name,
+                CASE WHEN {_usable_sql('grade_text')} THEN 1 ELSE 0 END AS q_grade,
+                coalesce(len(list_distinct(list_transform(list_filter(opinions, lambda o: {_usable_sql('o.grade')}), lambda o: coalesce({_folded_sql('o.source')}, chr(1)) || chr(2) || {_folded_sql('o.grade')}))), 0) AS q_opinions,
+                CASE WHEN trust IS NOT NULL THEN 1 ELSE 0 END AS q_source
+              FROM e LEFT JOIN s ON s.title = {_folded_sql('e.source')})
+            SELECT * FROM ({best('name', 'q_name')} UNION ALL {best('grade_text', 'q_grade')} UNION ALL {best('opinions', 'q_opinions')} UNION ALL {best('source', 'q_source')}) WHERE entry_id IS NOT NULL""",
+        "p6_found": """
+            WITH RECURSIVE e AS (SELECT DISTINCT id_a AS a, id_b AS b FROM hadith_match WHERE id_a <> id_b AND id_a IN (SELECT id FROM hadith) AND id_b IN (SELECT id FROM hadith)),
+            s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+            r AS (SELECT a AS id, a AS top FROM s UNION SELECT r.id, s.b FROM r JOIN s ON r.top = s.a)
+            SELECT id, min(top) AS group_id FROM r GROUP BY id""",
+    }
