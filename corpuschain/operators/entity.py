@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuschain.functions.text import normalize, words
+from corpuschain.operators.graph import connected
 
 # Words between names.
 SON = ("بن", "ابن")
@@ -62,6 +63,27 @@ def same_man(line_a: Column, line_b: Column, nisbas_a: Column, nisbas_b: Column,
     )
 
 
+def collapse(df: DataFrame, key: str, name: str, year: str, kunya: str, rank: str, trusted_from: int = 5) -> DataFrame:
+    """(key, man): each record with the smallest key among the records of the same man.
+
+    Records that agree in all that ``same_man`` looks at are one profile; different profiles of one block are compared,
+    and what is the same directly or through others is one man.  Records without a name stand alone.
+    """
+    seen = df.select(
+        F.col(key).cast("bigint").alias("k"), ident_key(F.col(name)).alias("block"), lineage(F.col(name)).alias("line"), nisbas(F.col(name)).alias("nisbas"),
+        F.col(year).alias("year"), normalize(F.col(kunya)).alias("kunya"), (F.col(rank) >= trusted_from).alias("trusted"),
+    )
+    parts = ["block", "line", "nisbas", "year", "kunya", "trusted"]
+    shaped = seen.withColumn("shape", F.sha2(F.to_json(F.struct(*parts)), 256))
+    profiles = shaped.where(F.coalesce("block", F.lit("")) != "").groupBy("shape").agg(F.min("k").alias("p"), *[F.first(c).alias(c) for c in parts])
+    pairs = block_pairs(profiles, "p", F.col("block"), parts[1:])
+    pair = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
+    same = pairs.where(same_man(*pair("line"), *pair("nisbas"), *pair("year"), *pair("kunya"), *pair("trusted"))).select("a", "b")
+    men = connected(same).withColumnRenamed("id", "p")
+    of_shape = profiles.select("shape", "p").join(men, "p", "left").select("shape", F.coalesce("component", "p").alias("man"))
+    return shaped.select("k", "shape").join(of_shape, "shape", "left").select(F.col("k").alias(key), F.coalesce("man", "k").alias("man"))
+
+
 def merged_gaps(df: DataFrame, by: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """(by, n, fields): one record for each group; each field is the first non-null value in the order, in one aggregation."""
     place = F.struct(*order)

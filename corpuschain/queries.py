@@ -314,6 +314,12 @@ def merge_gap_fill(spark: SparkSession, sf: str) -> DataFrame:
     return entity.merged_gaps(entries, "person_no", ["entry_id"], ["name", "kunya", "grade_text", "death_year", "source"])
 
 
+def collapse_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry with the smallest one of the same man."""
+    entries = table(spark, sf, "rijal_entry").withColumn("graded", G.classify(F.col("grade_text"))["rank"])
+    return entity.collapse(entries, "entry_id", "name", "death_year", "kunya", "graded")
+
+
 def anti_seed(spark: SparkSession, sf: str) -> DataFrame:
     """Entries whose name words are those of no seed."""
     tokens = entity.name_tokens(F.col("name"))
@@ -431,6 +437,7 @@ def queries() -> dict[str, Query]:
         grade_classify,
         grade_distribution,
         merge_gap_fill,
+        collapse_duplicates,
         anti_seed,
         distinctive_books,
         block_pairs,
@@ -455,7 +462,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     words = {f: words_sql(norm_sql(f)) for f in ("matn", "chapter", "isnad")}
     body = "coalesce(kind, 'hadith') = 'hadith' AND trim(matn) <> ''"
-    found = lambda match, keep=body, terms=SEARCHED: bm25_sql("hadith", words, terms, search.WEIGHTS, match, keep, TOP)
+    found = lambda match, keep=body, terms=SEARCHED, fields=(): bm25_sql("hadith", words, terms, search.WEIGHTS, match, keep, TOP, fields)
     any_term = " OR ".join(f"list_has_any({w}, [{', '.join(map(quoted, SEARCHED))}])" for w in words.values())
     sequences = "SELECT l_orderkey AS chain, l_linenumber * 10000000 + l_suppkey AS pos, l_suppkey AS name FROM lineitem"
     adjacent = f"SELECT * FROM (SELECT chain, pos, name AS student, lead(name) OVER (PARTITION BY chain ORDER BY pos) AS teacher FROM ({sequences})) WHERE student <> teacher"
@@ -482,6 +489,7 @@ def oracle_sql() -> dict[str, str]:
         "search_and": found("and", terms=TOGETHER),
         "search_auto": found("auto"),
         "search_filtered": found("or", body + " AND grade = 'ضعيف'"),
+        "search_in_field": found("or", fields=("matn",)),
         "facets": f"""
             WITH m AS (SELECT * FROM hadith WHERE {any_term})
             SELECT 'book_id' AS facet, CAST(book_id AS VARCHAR) AS value, count(*) AS n FROM m WHERE book_id IS NOT NULL GROUP BY ALL
@@ -522,6 +530,20 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT id, len(ws) AS m, unnest(ws) AS word FROM k),
             s AS (SELECT a.id AS a, b.id AS b, count(*) / least(any_value(a.m), any_value(b.m)) AS o FROM t a JOIN t b USING (word) WHERE a.id < b.id GROUP BY a.id, b.id)
             SELECT a, b, round(o, 6) AS overlap FROM s WHERE round(o, 9) >= 0.8""",
+        "near_dup_components": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_sort(list_distinct({latin_sql('text')})) AS ws FROM documents), k AS (SELECT min(doc_id) AS id, ws FROM w WHERE len(ws) >= 10 GROUP BY ws),
+            t AS (SELECT id, len(ws) AS m, unnest(ws) AS word FROM k),
+            s AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b USING (word) WHERE a.id < b.id GROUP BY a.id, b.id HAVING round(count(*) / least(any_value(a.m), any_value(b.m)), 9) >= 0.8),
+            e AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
+            r AS (SELECT id, id AS top FROM k UNION SELECT r.id, e.b FROM r JOIN e ON r.top = e.a), g AS (SELECT id, min(top) AS component FROM r GROUP BY id)
+            SELECT w.doc_id, g.component FROM w JOIN k ON w.ws = k.ws JOIN g ON g.id = k.id""",
+        "flag_body": f"""
+            WITH k AS (SELECT id, matn, {norm_sql('matn')} AS key FROM hadith),
+            f AS (SELECT *, regexp_matches(key, '^(?:و)?(?:حدثنا|حدثني|اخبرنا|اخبرني|انبانا|انباني|ثنا) ') AS v FROM k)
+            SELECT id, concat(CASE WHEN v THEN 'V' END, CASE WHEN NOT v AND len(regexp_extract_all(key, 'حدثنا|حدثني|اخبرنا|اخبرني|انبانا')) >= 2 THEN 'I' END,
+                CASE WHEN matn IS NULL OR trim(matn) = '' THEN 'E' END,
+                CASE WHEN len(replace(matn, '«', '')) <> len(replace(matn, '»', '')) THEN 'Q' END,
+                CASE WHEN regexp_matches(key, 'هذا حديث|هذا اسناد|علي شرط|لم يخرجاه|اخرجاه') THEN 'G' END) AS flags FROM f""",
         "edge_weights": f"SELECT teacher, student, count(*) AS weight FROM ({adjacent}) GROUP BY ALL",
         "node_freq": f"SELECT name AS node, count(*) AS freq, arg_min(pos, [chain, pos]) AS first_pos FROM ({sequences}) GROUP BY name",
         "adjacency": """

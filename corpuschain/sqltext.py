@@ -32,11 +32,11 @@ def latin_sql(x: str) -> str:
     return words_sql(f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))")
 
 
-def bm25_sql(source: str, words: dict[str, str], terms: list[str], weights: dict[str, float], match: str, keep: str, k: int) -> str:
+def bm25_sql(source: str, words: dict[str, str], terms: list[str], weights: dict[str, float], match: str, keep: str, k: int, fields: tuple[str, ...] = ()) -> str:
     """Weighted BM25 over the rows of ``source`` (id and columns), the first k of those for which ``keep`` holds."""
     listed = ", ".join(quoted(t) for t in terms)
     length = " + ".join(f"coalesce(len({w}), 0)" for w in words.values())
-    parts = " UNION ALL ".join(f"SELECT id, {weights.get(f, 1.0)} AS w, unnest({w}) AS term FROM s" for f, w in words.items())
+    parts = " UNION ALL ".join(f"SELECT id, {weights.get(f, 1.0)} AS w, unnest({w}) AS term FROM s" for f, w in words.items() if not fields or f in fields)
     need = {"or": "true", "and": f"n_terms = {len(terms)}", "auto": f"(n_terms = {len(terms)} OR (SELECT max(n_terms) FROM h) < {len(terms)})"}[match]
     return f"""
         WITH s AS (SELECT * FROM {source}),

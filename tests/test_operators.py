@@ -208,3 +208,16 @@ def test_lookup(spark):
         got[r["q"]].add((r["entry"], r["score"], r["ambiguous"]))
     for q, tokens in asked:
         assert got[q] == brute_lookup(tokens, forms), tokens
+
+
+def test_collapse(spark):
+    rows = [
+        (1, "زيد بن عمرو بن بكر المدني", 200, None, 9), (2, "زيد بن عمرو المدني", None, None, 9), (3, "زيد بن عمرو البصري", 200, None, 9),
+        (4, "زيد بن عمرو", 210, None, 9), (5, "زيد بن عمرو", 260, None, None), (6, "زيد بن عمرو", 260, None, None), (7, None, 200, None, 9),
+        (8, "خالد بن زيد", None, "أبو بكر", 9), (9, "خالد بن زيد", None, "أبو بكر", 2), (10, "خالد بن زيد", None, "أبو عمر", 2), (11, "", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "i bigint, n string, y int, k string, r int")
+    got = {x["i"]: x["man"] for x in entity.collapse(df, "i", "n", "y", "k", "r").collect()}
+    # 4 is within twenty years of both 1 and 3, which alone exclude each other
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8, 9: 8, 10: 10, 11: 11}
+    assert entity.collapse(df.limit(0), "i", "n", "y", "k", "r").count() == 0
