@@ -9,7 +9,8 @@ corpus:
   UTF-8 bytes; a value of that length without the terminator that the source is wont to
   write was cut by the field.
 * *open*: the automaton ends inside a construct, or on a mark that loaders leave at a cut.
-* *word*: the value ends in a fragment, a word seen nowhere else that begins other words.
+* *word*: the value ends in a fragment, which begins other words ``FRAGMENT`` times as often as it is
+  a word of its own elsewhere, at any size of the corpus.
 * *sentence*: the value ends on a word, or right after one, that practically never ends a
   sentence (in the chain field: a value) anywhere else.
 
@@ -32,6 +33,8 @@ from corpuschain.runtime import Scratch
 # What loaders append to a cut text.
 CUT_MARKS = ("[...]", "[…]", "(...)", "...", "…")
 TERMINATORS = ".!?؟۔。»”\""
+#: How many times as often a fragment begins longer words as it stands alone.
+FRAGMENT = 50
 _SENTENCE_ENDS = ".!?؟۔"
 _PAIRS = {"«": "»", "(": ")", "[": "]", "{": "}", "“": "”", "‹": "›"}
 _CLOSERS = {v: k for k, v in _PAIRS.items()}
@@ -179,11 +182,13 @@ def judge(df: DataFrame, key: str, source: str, columns: Sequence[str], value_en
     never_last = counted.where((F.col("n_all") >= 200) & (F.col("ends") * 200 <= F.col("n_all"))).select("field", F.col("word").alias("last"), F.lit(True).alias("no_last"))
     never_prev = counted.where((F.col("n_safe") >= 200) & (F.col("next_ends") * 200 <= F.col("n_safe"))).select("field", F.col("word").alias("prev"), F.lit(True).alias("no_prev"))
 
-    # Fragments: last words that the corpus has nowhere else, but as beginnings of other words.
+    # Fragments: last words that the corpus has far less often on their own than as beginnings of other words.
     open_ends = known.where(~F.col("ended") & F.col("last").isNotNull()).select("field", "last").distinct()
-    unseen = open_ends.join(words.select("field", F.col("word").alias("last")), ["field", "last"], "left_anti")
+    own = words.select("field", F.col("word").alias("last"), F.col("n_safe").alias("n_own"))
+    ends = open_ends.join(own, ["field", "last"], "left").select("field", "last", F.coalesce("n_own", F.lit(0)).alias("n_own"))
     begins = words.where(F.length("word") > 1).select("field", F.col("n_safe").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("last"))
-    fragments = unseen.join(begins, ["field", "last"]).groupBy("field", "last").agg(F.sum("n").alias("n_longer")).where(F.col("n_longer") >= 3).select("field", "last", F.lit(True).alias("fragment"))
+    longer = ends.join(begins, ["field", "last"]).groupBy("field", "last", "n_own").agg(F.sum("n").alias("n_longer"))
+    fragments = longer.where((F.col("n_longer") >= 3) & (F.col("n_own") * FRAGMENT <= F.col("n_longer"))).select("field", "last", F.lit(True).alias("fragment"))
 
     judged = known.join(fragments, ["field", "last"], "left").join(never_last, ["field", "last"], "left").join(never_prev, ["field", "prev"], "left").join(enders, ["field", "last"], "left")
     reason = (

@@ -77,3 +77,12 @@ def test_null_source_ties_long_and_empty(spark):
     got = sorted((r["id"], r["book"], r["reason"]) for r in tr.judge(df, "id", "book", ["t"]).collect())
     assert got == [(1, None, None), (1, None, None), (2, None, "open")]
     assert tr.judge(df.limit(0), "id", "book", ["t"]).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_fragments_at_any_size(spark, times):
+    """A fragment that stands elsewhere too is one as long as it begins far more words; ``river`` is a word of its own."""
+    texts = ["the window of water."] * 60 + ["a win of water.", "riverside river riverside.", "the water of the win", "the water of the river"]
+    rows = [(i, 1, t) for i, t in enumerate(texts * times)]
+    judged = tr.judge(spark.createDataFrame(rows, "id bigint, book int, t string"), "id", "book", ["t"])
+    assert {r["id"] for r in judged.where("reason = 'word'").collect()} == {i for i, _, t in rows if t.endswith("the win")}
