@@ -158,9 +158,12 @@ def cited_answer(spark: SparkSession, sf: str) -> DataFrame:
 # -- parallels ------------------------------------------------------------------------------
 
 def overlap_parallels(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries: every report whose id is divisible by 20, against all reports."""
+    """Queries: every report whose id is divisible by 20, against all reports, from the operator's least overlap on.
+
+    The SQL lists those from 0.6 on only, which are the same rows.
+    """
     h = texts(spark, sf, "hadith")
-    return retrieval.parallels(h, h.where("id % 20 = 0").select("id"), 0.6)
+    return retrieval.parallels(h, h.where("id % 20 = 0").select("id"))
 
 
 def _document_sets(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from corpuschain import queries
 from corpuschain.operators import books, entity, graph, overlap, search
 
 VOCAB = [f"w{i}" for i in range(40)]
@@ -221,3 +222,12 @@ def test_collapse(spark):
     # 4 is within twenty years of both 1 and 3, which alone exclude each other
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8, 9: 8, 10: 10, 11: 11}
     assert entity.collapse(df.limit(0), "i", "n", "y", "k", "r").count() == 0
+
+
+def test_overlap_parallels_by_meaning(spark, tmp_path):
+    """The registered query keeps parallels from 0.40 on."""
+    texts = {20: "a b c d e", 1: "a b f g h", 2: "a b c d i", 3: "a j k l m"}
+    rows = [(i, i, i, "hadith", t) for i, t in texts.items()]
+    spark.createDataFrame(rows, "id bigint, book_id int, number int, kind string, matn string").write.parquet(f"{tmp_path}/hadith.parquet")
+    got = {tuple(r) for r in queries.overlap_parallels(spark, str(tmp_path)).collect()}
+    assert got == {(20, 1, 0.4, "by meaning"), (20, 2, 0.8, "near")}
