@@ -166,8 +166,12 @@ def overlap_parallels(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.parallels(h, h.where("id % 20 = 0").select("id"))
 
 
-def _document_sets(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.word_sets(texts(spark, sf, "documents"), "doc_id", T.latin_words(F.col("text")), 10)
+#: Distinct words from which a document can overlap with another; smaller ones would chain.
+LEAST = 10
+
+
+def _document_sets(spark: SparkSession, sf: str, least: int = LEAST) -> DataFrame:
+    return overlap.word_sets(texts(spark, sf, "documents"), "doc_id", T.latin_words(F.col("text")), least)
 
 
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,10 +181,15 @@ def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with the smallest one of its group of near copies."""
-    distinct, members = overlap.representatives(_document_sets(spark, sf))
-    groups = graph.connected(overlap.similar_pairs(distinct, 0.8)).withColumnRenamed("id", "rep")
-    return members.join(groups, "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
+    """Every document with the smallest one of its group of near copies.
+
+    Documents of few distinct words are copies of those with the same words only, those without words of none.
+    The SQL lists documents of ``LEAST`` distinct words or more only, which have the same groups.
+    """
+    distinct, members = overlap.representatives(_document_sets(spark, sf, 1))
+    groups = graph.connected(overlap.similar_pairs(distinct.where(F.size("words") >= LEAST), 0.8)).withColumnRenamed("id", "rep")
+    found = table(spark, sf, "documents").select("doc_id").join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(groups, "rep", "left")
+    return found.select("doc_id", F.coalesce("component", "rep", "doc_id").alias("component"))
 
 
 def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:

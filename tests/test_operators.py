@@ -226,8 +226,16 @@ def test_collapse(spark):
 
 def test_overlap_parallels_by_meaning(spark, tmp_path):
     """The registered query keeps parallels from 0.40 on."""
-    texts = {20: "a b c d e", 1: "a b f g h", 2: "a b c d i", 3: "a j k l m"}
+    texts = {20: "ب ت ث ج ح", 1: "ب ت خ د ر", 2: "ب ت ث ج ز", 3: "ب س ش ص ط"}
     rows = [(i, i, i, "hadith", t) for i, t in texts.items()]
     spark.createDataFrame(rows, "id bigint, book_id int, number int, kind string, matn string").write.parquet(f"{tmp_path}/hadith.parquet")
     got = {tuple(r) for r in queries.overlap_parallels(spark, str(tmp_path)).collect()}
     assert got == {(20, 1, 0.4, "by meaning"), (20, 2, 0.8, "near")}
+
+
+def test_near_dup_components_has_every_document(spark, tmp_path):
+    long = " ".join(VOCAB[:20])
+    texts = {1: "see note", 2: "Note, see", 3: "see", 4: "", 5: None, 6: long, 7: long + " x", 8: " . "}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.near_dup_components(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6), (8, 8)}
