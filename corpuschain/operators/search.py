@@ -119,12 +119,17 @@ def ranked(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return top(hits, k, *order).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def hash_embedding(words: Column, dim: int = 256) -> Column:
-    """Counts of md5 buckets, divided by their length; all zero without words.  ``dim`` must be a power of 2 up to 2^28."""
+def md5_bucket(word: Column, dim: int) -> Column:
+    """The md5 of a word modulo ``dim``, which must be a power of 2 up to 2^28."""
     if dim & (dim - 1) or not 0 < dim <= 1 << 28:
         raise ValueError("dim must be a power of two")
     digits = max(1, -(-int(math.log2(dim)) // 4))
-    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), -digits, digits), 16, 10).cast("int") % dim)
+    return F.conv(F.substring(F.md5(word.cast("binary")), -digits, digits), 16, 10).cast("int") % dim
+
+
+def hash_embedding(words: Column, dim: int = 256) -> Column:
+    """Counts of md5 buckets, divided by their length; all zero without words.  ``dim`` must be a power of 2 up to 2^28."""
+    buckets = F.transform(words, lambda w: md5_bucket(w, dim))
 
     # one-element arrays bind a value, so that it is computed once and not for every bucket
     def count(own: Column) -> Column:
@@ -137,6 +142,14 @@ def hash_embedding(words: Column, dim: int = 256) -> Column:
     return F.transform(F.transform(F.array(buckets), count), scaled)[0]
 
 
+def hash_buckets(df: DataFrame, key: str, words: Column, dim: int = 256) -> DataFrame:
+    """(key, bucket, x): the non-zero entries of ``hash_embedding``, counted by aggregation and not by a scan for each bucket."""
+    spelt = df.select(key, F.explode(words).alias("word"))
+    counted = spelt.select(key, md5_bucket(F.col("word"), dim).alias("bucket")).groupBy(key, "bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counted.select(key, "bucket", (F.col("n") / norm).alias("x"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product; of unit vectors, their cosine."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

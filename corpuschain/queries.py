@@ -145,9 +145,9 @@ def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
-    """Hash embeddings of the chapters' words, as their non-zero buckets."""
-    distinct = texts(spark, sf, "hadith").select("chapter").where(F.col("chapter").isNotNull()).distinct()
-    return distinct.select("chapter", F.posexplode(search.hash_embedding(T.words(T.normalize(F.col("chapter"))), 64)).alias("bucket", "x")).where("x <> 0").select("chapter", "bucket", F.round("x", 6).alias("x"))
+    """Hash embeddings of all reports' bodies at the default size, as their non-zero buckets."""
+    found = search.hash_buckets(texts(spark, sf, "hadith"), "id", T.words(T.normalize(F.col("matn"))))
+    return found.select("id", "bucket", F.round("x", 6).alias("x"))
 
 
 def cited_answer(spark: SparkSession, sf: str) -> DataFrame:

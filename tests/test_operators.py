@@ -239,3 +239,11 @@ def test_near_dup_components_has_every_document(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in queries.near_dup_components(spark, str(tmp_path)).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 6), (8, 8)}
+
+
+def test_hash_embed_takes_whole_bodies(spark, tmp_path):
+    rows = [(1, "كتاب قلم كتاب", "x"), (2, "قلم", "x"), (3, None, "x"), (4, "", "x")]
+    spark.createDataFrame(rows, "id bigint, matn string, chapter string").write.parquet(f"{tmp_path}/hadith.parquet")
+    got = {(r["id"], r["bucket"]): r["x"] for r in queries.hash_embed(spark, str(tmp_path)).collect()}
+    dense = spark.createDataFrame([(i, (m or "").split()) for i, m, _ in rows], "id bigint, w array<string>").select("id", F.posexplode(search.hash_embedding(F.col("w"))).alias("bucket", "x"))
+    assert got == {(r["id"], r["bucket"]): round(r["x"], 6) for r in dense.where("x > 0").collect()} and {i for i, _ in got} == {1, 2}
