@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuschain.llm import components, leakage, linkage, mixture, neighbours, stuffing, survivor, truncation, visual
 from corpuschain.tables import table
@@ -40,6 +41,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.unordered_pairs(p3_neighbours(spark, sf))
 
 
+def p3_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors with an id divisible by 20, the number of their true neighbours among all, and whether the index finds 95 % of them or more."""
+    vec = table(spark, sf, "vec")
+    measured = neighbours.recall(vec, neighbours.neighbours(vec, "id", "v", 5), "id", "v", 5)
+    return measured.select("n_asked", "n_true", (F.col("n_found") >= 0.95 * F.col("n_true")).alias("reached"))
+
+
 def p4_judged(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.judge(table(spark, sf, "hadith"), "id", "book_id", ["matn", "isnad"], value_ends=["isnad"])
 
@@ -99,7 +107,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_persons": p1_persons, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_rates": p4_rates, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pages": p10_pages}
+    return {"p1_found": p1_found, "p1_persons": p1_persons, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall, "p4_found": p4_found, "p4_judged": p4_judged, "p4_rates": p4_rates, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p8_found": p8_found, "p8_hits": p8_hits, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pages": p10_pages}
 
 
 def _usable_sql(x: str) -> str:
@@ -135,6 +143,9 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / (a.l * b.l), 9) AS c FROM n a JOIN n b ON a.id <> b.id),
             r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM c)
             SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE r <= 5""",
+        "p3_recall": """
+            WITH n AS (SELECT id, id % 20 = 0 AS asked FROM vec WHERE len(v) = 64 AND list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])) > 0)
+            SELECT count(*) FILTER (asked) AS n_asked, CAST(sum(least(5, total - 1)) FILTER (asked) AS BIGINT) AS n_true, true AS reached FROM n, (SELECT count(*) AS total FROM n)""",
         "p5_found": f"""
             WITH t AS (SELECT {_folded_sql("unnest(list_append(short_titles, source))")} AS title, trust FROM source_book),
             s AS (SELECT title, min(trust) AS trust FROM t WHERE title <> '' GROUP BY title),
