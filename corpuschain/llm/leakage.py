@@ -3,13 +3,18 @@
 Texts become sequences of folded words (no case, vowel marks, spelling variants of a
 letter, punctuation, markup or odd coding).  Of every ``window`` consecutive hashes of
 ``k`` words the smallest is kept, so that two texts that share ``k + window - 1`` words in
-a row share a fingerprint.  Fingerprints of the corpus are joined with those of the
-evaluation items, and every hit is extended in both directions by a banded local
+a row share a fingerprint.  The fingerprints of the corpus and of the evaluation items are
+tables that are joined, and every hit is extended in both directions by a banded local
 alignment that passes over single changed, missing or added words.
 
-The evaluation items are the small side: they are sent to the tasks in blocks of at most
-``block_words`` words, however many items there are, and each block meets the whole
-corpus in one pass without any shuffle.  No fingerprint of a document leaves its task.
+Neither side is collected.  The corpus is read once: its fingerprints pass a bitmap of
+those of the items (of bounded size, whatever the number of items), so that only documents
+with a fingerprint in it, and of these only such fingerprints, are written and shuffled.
+The joins are salted, so that a passage or an item that stands in a third of all documents
+meets many tasks.
+
+Instructions that open or end several *different* items are stock and no evidence; copies
+and light variants of one item count once, and a shared run longer than an instruction is a passage.
 """
 
 from __future__ import annotations
@@ -18,15 +23,16 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuschain.llm.visual import DIGITS, LOOK_ALIKES, _prints_as
+from corpuschain.runtime import Scratch
 
 # Spelling variants of Arabic letters; "" drops the letter.
 SPELLINGS = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ؤ": "و", "ة": "ه", "ء": "", "ـ": ""}
@@ -112,72 +118,145 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 class Settings:
     """k and window of winnowing; a hit counts from ``least`` matched words that are not stock, in a passage of which ``agree`` match.
 
-    ``stock_items``: a run of k words at the first or last ``stock_edge`` words of so many items is
-    stock instruction and no evidence.  ``block_words``: evaluation words sent to the tasks at a time.
+    ``stock_items``: a run of words at the edge of so many different items, of ``stock_edge`` words at
+    most, is stock instruction; items of which ``copy`` of the runs are equal are one item.
+    ``bits``: the bitmap of fingerprints has 2 to the power of this at most.  ``salts``: parts of a hot key.
     """
 
-    k: int = 5
-    window: int = 3
+    k: int = 4
+    window: int = 2
     least: int = 15
     agree: float = 0.75
     stock_items: int = 3
     stock_edge: int = 30
-    block_words: int = 2_000_000
-
-
-class Items:
-    """One block of evaluation items with the fingerprints that lead to them."""
-
-    def __init__(self, ids: list[int], tokens: list[np.ndarray], stock: list[np.ndarray], s: Settings):
-        self.ids, self.tokens, self.stock, self.s = ids, tokens, stock, s
-        prints, owner, place = [], [], []
-        for n, (w, st) in enumerate(zip(tokens, stock, strict=True)):
-            h = shingle_hashes(w, s.k)
-            at = winnow(h, s.window)
-            covered = np.array([st[i : i + s.k].all() for i in at], dtype=bool) if len(at) else np.empty(0, dtype=bool)
-            at = at[~covered]
-            prints.append(h[at])
-            owner.append(np.full(len(at), n))
-            place.append(at)
-        p = np.concatenate([np.empty(0, dtype=np.uint64), *prints])
-        order = np.argsort(p, kind="stable")
-        self.prints = p[order]
-        self.owner = np.concatenate([np.empty(0, dtype=np.int64), *owner])[order].astype(np.int64)
-        self.place = np.concatenate([np.empty(0, dtype=np.int64), *place])[order].astype(np.int64)
-        self.distinct = np.unique(self.prints)
-        #: A first sieve of 2^22 bits on the low bits of the hash, to keep the binary search off the common case.
-        self.sieve = np.zeros(1 << 22, dtype=bool)
-        self.sieve[(self.distinct & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-
-def stock_words(tokens: list[np.ndarray], s: Settings) -> list[np.ndarray]:
-    """For each item, which of its words belong to instructions that open or end several items."""
-    count: dict[int, set[int]] = {}
-    edges = []
-    for n, w in enumerate(tokens):
-        h = shingle_hashes(w, s.k)
-        at = [i for i in range(len(h)) if i < s.stock_edge or i + s.k > len(w) - s.stock_edge]
-        edges.append((h, at))
-        for i in at:
-            found = count.setdefault(int(h[i]), set())
-            if len(found) < s.stock_items:
-                found.add(n)
-    out = []
-    for w, (h, at) in zip(tokens, edges, strict=True):
-        flag = np.zeros(len(w), dtype=bool)
-        for i in at:
-            if len(count[int(h[i])]) >= s.stock_items:
-                flag[i : i + s.k] = True
-        # only what reaches the very edge, but for single words before or after it
-        keep = np.zeros(len(w), dtype=bool)
-        for step, start in ((1, 0), (-1, len(w) - 1)):
-            i, missed = start, 0
-            while 0 <= i < len(w) and missed <= 1:
-                missed = 0 if flag[i] else missed + 1
-                keep[i] = keep[i] or flag[i]
-                i += step
-        out.append(keep)
-    return out
+    copy: float = 0.4
+    bits: int = 26
+    salts: int = 8
+
+
+def row_number() -> Iterator[int]:
+    """Numbers that no other task of the stage gives out."""
+    context = TaskContext.get()
+    start = (context.partitionId() if context else 0) << 36
+    while True:
+        yield start
+        start += 1
+
+
+def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(n, key, w): the hashed words of each text that has any, under a row number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, memo = row_number(), _Hashes()
+        for b in batches:
+            own = [hashed(words(t), memo).tobytes() for t in b["t"]]
+            yield pd.DataFrame({"n": [next(number) for _ in own], "key": b["key"], "w": own})
+
+    narrow = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
+    return narrow.mapInPandas(run, "n bigint, key bigint, w binary").where(F.length("w") > 0)
+
+
+def unpack(w: bytes) -> np.ndarray:
+    return np.frombuffer(w, dtype=np.uint64)
+
+
+def runs(items: DataFrame, s: Settings) -> DataFrame:
+    """(n, h, edge): each run of k words of each item, and whether it lies near the item's beginning or end."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, w in zip(b["n"], b["w"], strict=True):
+                h = shingle_hashes(unpack(w), s.k)
+                at = np.arange(len(h))
+                yield pd.DataFrame({"n": n, "h": h.view(np.int64), "edge": (at < s.stock_edge) | (at >= len(h) - s.stock_edge)})
+
+    return items.select("n", "w").mapInPandas(run, "n bigint, h bigint, edge boolean")
+
+
+def stock_runs(items: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
+    """(h): the runs near the edges of ``stock_items`` or more different items.
+
+    Copies and variants of an item meet in a star: each item is compared with the first item that
+    has the same run, for each of its runs, so a run that all items share makes no pairs of all with all.
+    """
+    seen = scratch.cut(runs(items, s).groupBy("n", "h").agg(F.max("edge").alias("edge")), "runs")
+    hubs = seen.groupBy("h").agg(F.min("n").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1").select("h", "hub")
+    size = seen.groupBy("n").agg(F.count(F.lit(1)).alias("size"))
+    shared = seen.join(hubs, "h").where("n <> hub").groupBy("n", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    sized = shared.join(size, "n").join(size.select(F.col("n").alias("hub"), F.col("size").alias("hub_size")), "hub")
+    near = sized.where(F.col("shared") >= s.copy * F.greatest("size", "hub_size")).groupBy("n").agg(F.min("hub").alias("first"))
+    one = scratch.cut(near, "copies")
+    family = one.join(one.select(F.col("n").alias("first"), F.col("first").alias("earlier")), "first", "left").select("n", F.coalesce("earlier", "first").alias("family"))
+    edges = seen.where("edge").join(family, "n", "left").select("h", F.coalesce("family", "n").alias("family"))
+    return edges.groupBy("h").agg(F.countDistinct("family").alias("families")).where(F.col("families") >= s.stock_items).select("h")
+
+
+def stock_mask(w: np.ndarray, shared: np.ndarray, s: Settings) -> np.ndarray:
+    """Which words of an item are stock: the shared runs that reach its very edge, but for single words before or between them, and are no longer than ``stock_edge``."""
+    flag = np.zeros(len(w), dtype=bool)
+    for i in np.flatnonzero(np.isin(shingle_hashes(w, s.k), shared)):
+        flag[i : i + s.k] = True
+    keep = np.zeros(len(w), dtype=bool)
+    for step, start in ((1, 0), (-1, len(w) - 1)):
+        reached, missed, i = [], 0, start
+        while 0 <= i < len(w) and missed <= 1:
+            missed = 0 if flag[i] else missed + 1
+            if flag[i]:
+                reached.append(i)
+            i += step
+        if len(reached) <= s.stock_edge:
+            keep[reached] = True
+    return keep
+
+
+ITEM = "n bigint, key bigint, w binary, stock binary, whole boolean, prints array<bigint>, places array<int>"
+
+
+def fingerprinted(items: DataFrame, stock: DataFrame, s: Settings) -> DataFrame:
+    """Items with their stock words and the fingerprints that lead to them; ``whole``: too short for a passage, so that only the whole item counts."""
+    own = runs(items, s).select("n", "h").distinct().join(stock, "h").groupBy("n").agg(F.collect_list("h").alias("shared"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for n, key, packed, shared in zip(b["n"], b["key"], b["w"], b["shared"], strict=True):
+                w = unpack(packed)
+                mask = stock_mask(w, np.array([] if shared is None else shared, dtype=np.int64).view(np.uint64), s)
+                left = int((~mask).sum())
+                if not left:
+                    continue
+                whole = left < s.least
+                h = shingle_hashes(w, min(s.k, len(w)))
+                at = np.array([0]) if whole else winnow(h, s.window)
+                if not whole:
+                    at = at[[not mask[i : i + s.k].all() for i in at]]
+                out.append((n, key, packed, mask.tobytes(), whole, h[at].view(np.int64), at))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ITEM.split(", ")])
+
+    return items.join(own, "n", "left").mapInPandas(run, ITEM)
+
+
+class Sieve:
+    """A bitmap of fingerprints, each under two of its bits; two bitmaps, for passages and for whole items."""
+
+    def __init__(self, prints: DataFrame, n: int, most: int):
+        self.bits = min(most, max(16, (32 * n).bit_length()))
+        self.maps = np.zeros((2, 1 << self.bits), dtype=bool)
+        mask = F.lit((1 << self.bits) - 1)
+        slot = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask))).alias("slot")
+        packed = prints.select("whole", slot).groupBy("whole", F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("set"))
+        rows = packed.toPandas()  # at most 2^bits / 64 rows of each kind
+        for kind in (False, True):
+            own = rows[rows["whole"] == kind]
+            if len(own):
+                set_ = np.unpackbits(own["set"].to_numpy(dtype=np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                self.maps[int(kind)].reshape(-1, 64)[own["at"].to_numpy(dtype=np.int64)] = set_.astype(bool)
+
+    def has(self, h: np.ndarray, whole: bool) -> np.ndarray:
+        mask, bits = np.uint64((1 << self.bits) - 1), self.maps[int(whole)]
+        found = bits[(h & mask).astype(np.int64)]
+        found[found] = bits[((h[found] >> np.uint64(32)) & mask).astype(np.int64)]
+        return found
 
 
 def align(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shift: int, band: int = 12) -> tuple[int, int, int, int, int, int]:
@@ -222,16 +301,15 @@ def align(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shift: int, band: int
     return best[2], best[1], best[3], where[0], best[4], where[1]
 
 
-def compare(d: np.ndarray, seeds: list[tuple[int, int]], items: Items, n: int) -> tuple | None:
-    """The best passage of item n in a document, from its seeds (document position, item position); None where too little matches."""
-    s, a, stock = items.s, items.tokens[n], items.stock[n]
+def compare(d: np.ndarray, a: np.ndarray, stock: np.ndarray, seeds: list[tuple[int, int]], s: Settings) -> tuple | None:
+    """The best passage of an item in a document, from its seeds (document position, item position); None where too little matches."""
     best = None
     left = sorted({p - q for p, q in seeds})
     while left:
         group = [x for x in left if x - left[0] <= 12]
         left = left[len(group) :]
         shift = group[len(group) // 2]
-        near = d[max(0, shift - 12) : shift + len(a) + 12]
+        near = d[max(0, shift - 12) : max(0, shift + len(a) + 12)]
         if np.isin(a[~stock], near).sum() < s.least:
             continue
         own, matched, a0, a1, d0, d1 = align(d, a, stock, shift)
@@ -241,74 +319,70 @@ def compare(d: np.ndarray, seeds: list[tuple[int, int]], items: Items, n: int) -
     return best
 
 
-HITS = "item_id bigint, n_words bigint, n_matched bigint, item_from bigint, item_to bigint, doc_from bigint, doc_to bigint"
+def whole_item(d: np.ndarray, a: np.ndarray, stock: np.ndarray, seeds: list[tuple[int, int]], s: Settings) -> tuple | None:
+    """The item word for word in the document; one of under k words only where the document is nothing else."""
+    for at in sorted({p for p, _ in seeds}):
+        if at + len(a) <= len(d) and (d[at : at + len(a)] == a).all() and (len(a) >= s.k or len(a) == len(d)):
+            return int((~stock).sum()), len(a), 0, len(a), at, at + len(a)
+    return None
 
 
-def find_hits(d: np.ndarray, items: Items) -> list[tuple]:
-    """(item id, matched words that are no stock, matched, item from, item to, document from, document to) for each item that leaks into one document."""
-    s = items.s
-    h = shingle_hashes(d, s.k)
-    if not len(h):
-        return []
-    maybe = np.flatnonzero(items.sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-    if not len(maybe):
-        return []
-    at = np.intersect1d(maybe, winnow(h, s.window), assume_unique=True)
-    keys = h[at]
-    lo, hi = np.searchsorted(items.prints, keys, "left"), np.searchsorted(items.prints, keys, "right")
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for p, x, y in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        for e in range(x, y):
-            seeds.setdefault(int(items.owner[e]), []).append((p, int(items.place[e])))
-    out = []
-    for n, found in seeds.items():
-        if best := compare(d, found, items, n):
-            out.append((items.ids[n], *best))
-    return out
+HITS = "n_words bigint, n_matched bigint, item_from bigint, item_to bigint, doc_from bigint, doc_to bigint"
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, settings: Settings = Settings()) -> DataFrame:
     """One row for each document and item of which it holds the whole or a long passage, with the places in words.
 
-    Null and empty texts on either side match nothing; items under ``least`` words that are not
-    stock can't be told from a quotation and match nothing either.  Repeated document ids
-    give a row for each row; other columns are ignored.  Stock is found over all items.
+    Null and empty texts on either side match nothing.  Items of which under ``least`` words are not stock
+    match where they stand word for word as a whole, those of under k words only as a whole document;
+    items that are stock from end to end match nothing.  Repeated document or item ids give a row
+    for each row; other columns are ignored.  Stock is found over all items.
     """
     s = settings
-    items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull())
-    memo = _Hashes()
-    ids, tokens = [], []
-    for row in items.orderBy("i").toLocalIterator():
-        w = hashed(words(row["t"]), memo)
-        if len(w):
-            ids.append(row["i"])
-            tokens.append(w)
-    stock = stock_words(tokens, s)
-    blocks, start, size = [], 0, 0
-    for n, w in enumerate(tokens):
-        if size and size + len(w) > s.block_words:
-            blocks.append((start, n))
-            start, size = n, 0
-        size += len(w)
-    blocks.append((start, len(tokens)))
-    sc = docs.sparkSession.sparkContext
+    scratch = Scratch(docs.sparkSession, "leakage")
+    read = scratch.cut(words_of(items, item_id, item_text), "items")
+    stock = scratch.cut(stock_runs(read, scratch, s), "stock")
+    kept = scratch.cut(fingerprinted(read, stock, s), "fingerprints")
+    prints = kept.select("n", "whole", F.explode(F.arrays_zip("prints", "places")).alias("p")).select("n", "whole", F.col("p.prints").alias("h"), F.col("p.places").alias("item_at"))
+    n_prints = kept.agg(F.sum(F.size("prints"))).first()[0] or 0
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve(prints.select("whole", "h"), n_prints, s.bits))
     kind = dict(docs.dtypes)[doc_id]
-    narrow = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
-
-    def scan(part: tuple[int, int]) -> DataFrame:
-        block = sc.broadcast(Items(ids[slice(*part)], tokens[slice(*part)], stock[slice(*part)], s))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = _Hashes()
-            for batch in batches:
-                out = []
-                for d, t in zip(batch["d"], batch["t"], strict=True):
-                    out += [(d, *hit) for hit in find_hits(hashed(words(t), own), block.value)]
-                yield pd.DataFrame(out, columns=["d", *(c.split()[0] for c in HITS.split(", "))])
-
-        return narrow.mapInPandas(run, f"d {kind}, {HITS}")
 
-    return reduce(DataFrame.unionAll, map(scan, blocks)).withColumnRenamed("d", doc_id)
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, memo, maps = row_number(), _Hashes(), sieve.value
+        for b in batches:
+            out = []
+            for key, t in zip(b["key"], b["t"], strict=True):
+                w = hashed(words(t), memo)
+                h = shingle_hashes(w, min(s.k, len(w))) if len(w) else w
+                whole = np.flatnonzero(maps.has(h, True))
+                maybe = np.flatnonzero(maps.has(h, False)) if len(w) >= s.k else whole[:0]
+                part = np.intersect1d(maybe, winnow(h, s.window), assume_unique=True) if len(maybe) else maybe
+                if len(part) or len(whole):
+                    at = np.concatenate([part, whole])
+                    out.append((next(number), key, w.tobytes(), h[at].view(np.int64), at, np.arange(len(at)) >= len(part)))
+            yield pd.DataFrame(out, columns=["d", "key", "w", "prints", "places", "whole"])
+
+    narrow = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull())
+    met = scratch.cut(narrow.mapInPandas(scan, f"d bigint, key {kind}, w binary, prints array<bigint>, places array<int>, whole array<boolean>"), "documents")
+    salt = F.pmod(F.xxhash64("d"), F.lit(s.salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt")
+    marks = met.select("d", salt, F.explode(F.arrays_zip("prints", "places", "whole")).alias("p"))
+    marks = marks.select("d", "salt", F.col("p.prints").alias("h"), F.col("p.places").alias("doc_at"), F.col("p.whole").alias("whole"))
+    seeds = marks.join(prints.select("*", every), ["h", "whole", "salt"]).groupBy("d", "salt", "n").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("seeds"))
+    sides = seeds.join(kept.select("n", F.col("key").alias("item_id"), F.col("w").alias("item_w"), "stock", "whole", every), ["n", "salt"]).join(met.select("d", "key", "w"), "d")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, item, w, a, mask, whole, found in zip(b["key"], b["item_id"], b["w"], b["item_w"], b["stock"], b["whole"], b["seeds"], strict=True):
+                judge = whole_item if whole else compare
+                if hit := judge(unpack(w), unpack(a), np.frombuffer(mask, dtype=bool), [(int(x["doc_at"]), int(x["item_at"])) for x in found], s):
+                    out.append((key, item, *hit))
+            yield pd.DataFrame(out, columns=["d", "item_id", *(c.split()[0] for c in HITS.split(", "))])
+
+    found = sides.select("key", "item_id", "w", "item_w", "stock", "whole", "seeds").mapInPandas(verify, f"d {kind}, item_id bigint, {HITS}")
+    return found.withColumnRenamed("d", doc_id)
 
 
 def leaked_items(hits: DataFrame, items: DataFrame, item_id: str) -> DataFrame:

@@ -97,7 +97,7 @@ def test_operator(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string, t string")
     e = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(50, None), (51, ""), (52, "short item"), (53, " ".join(stock))], "item_id bigint, text string")
     want |= {(902, 0)}
-    for s in (lk.Settings(), lk.Settings(block_words=130)):
+    for s in (lk.Settings(), lk.Settings(bits=8, salts=1)):
         hits = lk.leaks(d, "doc_id", "text", e, "item_id", "text", s)
         got = [(r["doc_id"], r["item_id"]) for r in hits.collect()]
         assert len(got) == len(set(got)) and set(got) == want
@@ -106,6 +106,54 @@ def test_operator(spark):
     assert counts[50] == counts[53] == 0 and sum(counts.values()) == len(want)
 
 
+def found(spark, docs, items, **settings):
+    d = spark.createDataFrame([(n, " ".join(t)) for n, t in docs.items()], "doc_id bigint, text string")
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in lk.leaks(d, "doc_id", "text", e, "item_id", "text", lk.Settings(**settings)).collect()}
+
+
+@pytest.mark.parametrize("copies", [3, 50])
+def test_copies_and_variants_of_an_item_are_no_stock(spark, copies):
+    item = text(50)
+    items = {}
+    for n in range(copies):
+        own = list(item)
+        if n % 2:
+            own[RNG.randrange(50)] = f"variant{n}"
+        items[n] = own
+    assert found(spark, {1: text(30) + item + text(30), 2: text(100)}, items) == {(1, n) for n in range(copies)}
+
+
+def test_stock_of_different_items_and_a_passage_that_they_share(spark):
+    stock, passage = text(12), text(45)
+    items = {n: stock + text(40) for n in range(6)} | {10 + n: passage + text(12) for n in range(6)}
+    got = found(spark, {1: text(20) + stock + text(20), 2: text(20) + passage + text(20), 3: items[2]}, items)
+    assert got == {(2, 10 + n) for n in range(6)} | {(3, 2)}
+
+
+def test_short_items_count_as_a_whole(spark):
+    short, tiny = text(10), text(3)
+    docs = {1: text(30) + short + text(30), 2: text(30) + short[:9] + text(30), 3: tiny, 4: tiny + text(1), 5: short}
+    assert found(spark, docs, {1: short, 2: tiny}) == {(1, 1), (5, 1), (3, 2)}
+
+
+def test_a_passage_with_every_sixth_word_changed(spark):
+    item = text(60)
+    docs = {}
+    for n in range(30):
+        part = item[n : n + 24]
+        for i in range(n % 6, 24, 6):
+            part[i] = f"other{i}"
+        docs[n] = text(10) + part + text(10)
+    assert found(spark, docs, {1: item}) == {(n, 1) for n in range(30)}
+
+
+def test_an_item_in_most_documents(spark):
+    item = text(40)
+    docs = {n: text(5) + item + text(5) if n % 3 else text(40) for n in range(300)}
+    assert found(spark, docs, {7: item, 8: text(40)}) == {(n, 7) for n in docs if n % 3}
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     e = spark.createDataFrame([(1, "a b c d e f g h")], "item_id bigint, text string")
