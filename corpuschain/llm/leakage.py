@@ -116,16 +116,19 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Settings:
-    """k and window of winnowing; a hit counts from ``least`` matched words that are not stock, in a passage of which ``agree`` match.
+    """k and window of winnowing; a hit counts from ``least`` matched words that are not stock, in a passage of ``passage`` words or more of which ``agree`` match.
+
+    Every shared run of k + window - 1 words is found, so a passage of 20 words with any two of them changed is.
 
     ``stock_items``: a run of words at the edge of so many different items, of ``stock_edge`` words at
     most, is stock instruction; items of which ``copy`` of the runs are equal are one item.
     ``bits``: the bitmap of fingerprints has 2 to the power of this at most.  ``salts``: parts of a hot key.
     """
 
-    k: int = 4
+    k: int = 5
     window: int = 2
     least: int = 15
+    passage: int = 19
     agree: float = 0.75
     stock_items: int = 3
     stock_edge: int = 30
@@ -301,28 +304,29 @@ def align(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shift: int, band: int
     return best[2], best[1], best[3], where[0], best[4], where[1]
 
 
-def compare(d: np.ndarray, a: np.ndarray, stock: np.ndarray, seeds: list[tuple[int, int]], s: Settings) -> tuple | None:
-    """The best passage of an item in a document, from its seeds (document position, item position); None where too little matches."""
+def compare(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shifts: list[int], s: Settings) -> tuple | None:
+    """The best passage of an item in a document, from where its fingerprints meet (document place less item place); None where too little matches."""
     best = None
-    left = sorted({p - q for p, q in seeds})
+    left = sorted(shifts)
+    own_words = a[~stock].tolist()
     while left:
         group = [x for x in left if x - left[0] <= 12]
         left = left[len(group) :]
         shift = group[len(group) // 2]
-        near = d[max(0, shift - 12) : max(0, shift + len(a) + 12)]
-        if np.isin(a[~stock], near).sum() < s.least:
+        near = set(d[max(0, shift - 12) : max(0, shift + len(a) + 12)].tolist())
+        if sum(w in near for w in own_words) < s.least:
             continue
         own, matched, a0, a1, d0, d1 = align(d, a, stock, shift)
         span = max(a1 - a0, d1 - d0, 1)
-        if own >= s.least and matched >= s.agree * span and (best is None or own > best[0]):
+        if own >= s.least and span >= min(s.passage, len(a)) and matched >= s.agree * span and (best is None or own > best[0]):
             best = (own, matched, a0, a1, d0, d1)
     return best
 
 
-def whole_item(d: np.ndarray, a: np.ndarray, stock: np.ndarray, seeds: list[tuple[int, int]], s: Settings) -> tuple | None:
+def whole_item(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shifts: list[int], s: Settings) -> tuple | None:
     """The item word for word in the document; one of under k words only where the document is nothing else."""
-    for at in sorted({p for p, _ in seeds}):
-        if at + len(a) <= len(d) and (d[at : at + len(a)] == a).all() and (len(a) >= s.k or len(a) == len(d)):
+    for at in sorted(shifts):
+        if 0 <= at and at + len(a) <= len(d) and (d[at : at + len(a)] == a).all() and (len(a) >= s.k or len(a) == len(d)):
             return int((~stock).sum()), len(a), 0, len(a), at, at + len(a)
     return None
 
@@ -369,19 +373,19 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     every = F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("salt")
     marks = met.select("d", salt, F.explode(F.arrays_zip("prints", "places", "whole")).alias("p"))
     marks = marks.select("d", "salt", F.col("p.prints").alias("h"), F.col("p.places").alias("doc_at"), F.col("p.whole").alias("whole"))
-    seeds = marks.join(prints.select("*", every), ["h", "whole", "salt"]).groupBy("d", "salt", "n").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("seeds"))
+    seeds = marks.join(prints.select("*", every), ["h", "whole", "salt"]).groupBy("d", "salt", "n").agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("shifts"))
     sides = seeds.join(kept.select("n", F.col("key").alias("item_id"), F.col("w").alias("item_w"), "stock", "whole", every), ["n", "salt"]).join(met.select("d", "key", "w"), "d")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, item, w, a, mask, whole, found in zip(b["key"], b["item_id"], b["w"], b["item_w"], b["stock"], b["whole"], b["seeds"], strict=True):
+            for key, item, w, a, mask, whole, shifts in zip(b["key"], b["item_id"], b["w"], b["item_w"], b["stock"], b["whole"], b["shifts"], strict=True):
                 judge = whole_item if whole else compare
-                if hit := judge(unpack(w), unpack(a), np.frombuffer(mask, dtype=bool), [(int(x["doc_at"]), int(x["item_at"])) for x in found], s):
+                if hit := judge(unpack(w), unpack(a), np.frombuffer(mask, dtype=bool), shifts.tolist(), s):
                     out.append((key, item, *hit))
             yield pd.DataFrame(out, columns=["d", "item_id", *(c.split()[0] for c in HITS.split(", "))])
 
-    found = sides.select("key", "item_id", "w", "item_w", "stock", "whole", "seeds").mapInPandas(verify, f"d {kind}, item_id bigint, {HITS}")
+    found = sides.select("key", "item_id", "w", "item_w", "stock", "whole", "shifts").mapInPandas(verify, f"d {kind}, item_id bigint, {HITS}")
     return found.withColumnRenamed("d", doc_id)
 
 

@@ -137,15 +137,16 @@ def test_short_items_count_as_a_whole(spark):
     assert found(spark, docs, {1: short, 2: tiny}) == {(1, 1), (5, 1), (3, 2)}
 
 
-def test_a_passage_with_every_sixth_word_changed(spark):
+def test_a_passage_of_twenty_words_with_two_changed(spark):
     item = text(60)
-    docs = {}
-    for n in range(30):
-        part = item[n : n + 24]
-        for i in range(n % 6, 24, 6):
+    docs, places = {}, [(x, y) for x in range(1, 18) for y in range(x + 1, 19)]
+    for n, changed in enumerate(places):
+        part = item[n % 40 : n % 40 + 20]
+        for i in changed:
             part[i] = f"other{i}"
         docs[n] = text(10) + part + text(10)
-    assert found(spark, docs, {1: item}) == {(n, 1) for n in range(30)}
+    docs[900] = text(10) + item[5:20] + text(10)
+    assert found(spark, docs, {1: item}) == {(n, 1) for n in range(len(places))}
 
 
 def test_an_item_in_most_documents(spark):
