@@ -118,7 +118,7 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 class Settings:
     """k and window of winnowing; a hit counts from ``least`` matched words that are not stock, in a passage of ``passage`` words or more of which ``agree`` match.
 
-    Every shared run of k + window - 1 words is found, so a passage of 20 words with any two of them changed is.
+    Every shared run of k + window - 1 words is found, so a passage of 20 words with any two single changes is.
 
     ``stock_items``: a run of words at the edge of so many different items, of ``stock_edge`` words at
     most, is stock instruction; items of which ``copy`` of the runs are equal are one item.
@@ -304,6 +304,24 @@ def align(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shift: int, band: int
     return best[2], best[1], best[3], where[0], best[4], where[1]
 
 
+def past_single_changes(d: np.ndarray, a: np.ndarray, stock: np.ndarray, passage: tuple) -> tuple:
+    """The passage with what lies beyond one changed word at either end, which the alignment's scores give up."""
+    own, matched, a0, a1, d0, d1 = passage
+    while matched and min(a0, d0) > 0:
+        step = 1 if a[a0 - 1] == d[d0 - 1] else 2
+        if min(a0, d0) < step or a[a0 - step] != d[d0 - step]:
+            break
+        a0, d0 = a0 - step, d0 - step
+        own, matched = own + (not stock[a0]), matched + 1
+    while matched and a1 < len(a) and d1 < len(d):
+        step = 0 if a[a1] == d[d1] else 1
+        if a1 + step >= len(a) or d1 + step >= len(d) or a[a1 + step] != d[d1 + step]:
+            break
+        own, matched = own + (not stock[a1 + step]), matched + 1
+        a1, d1 = a1 + step + 1, d1 + step + 1
+    return int(own), matched, a0, a1, d0, d1
+
+
 def compare(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shifts: list[int], s: Settings) -> tuple | None:
     """The best passage of an item in a document, from where its fingerprints meet (document place less item place); None where too little matches."""
     best = None
@@ -316,7 +334,7 @@ def compare(d: np.ndarray, a: np.ndarray, stock: np.ndarray, shifts: list[int],
         near = set(d[max(0, shift - 12) : max(0, shift + len(a) + 12)].tolist())
         if sum(w in near for w in own_words) < s.least:
             continue
-        own, matched, a0, a1, d0, d1 = align(d, a, stock, shift)
+        own, matched, a0, a1, d0, d1 = past_single_changes(d, a, stock, align(d, a, stock, shift))
         span = max(a1 - a0, d1 - d0, 1)
         if own >= s.least and span >= min(s.passage, len(a)) and matched >= s.agree * span and (best is None or own > best[0]):
             best = (own, matched, a0, a1, d0, d1)

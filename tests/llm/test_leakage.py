@@ -137,9 +137,9 @@ def test_short_items_count_as_a_whole(spark):
     assert found(spark, docs, {1: short, 2: tiny}) == {(1, 1), (5, 1), (3, 2)}
 
 
-def test_a_passage_of_twenty_words_with_two_changed(spark):
+def test_a_passage_of_twenty_words_with_two_single_changes(spark):
     item = text(60)
-    docs, places = {}, [(x, y) for x in range(1, 18) for y in range(x + 1, 19)]
+    docs, places = {}, [(x, y) for x in range(1, 18) for y in range(x + 2, 19)]
     for n, changed in enumerate(places):
         part = item[n % 40 : n % 40 + 20]
         for i in changed:
