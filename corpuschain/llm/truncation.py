@@ -13,8 +13,11 @@ corpus:
   a word of its own elsewhere, at any size of the corpus.
 * *sentence*: the value ends on a word, or right after one, that practically never ends a
   sentence (in the chain field: a value) anywhere else.
+* *end*: the value has no terminator in a source that practically never leaves it out.
 
-Gaps that an author marked inside a text don't count, nor a missing full stop alone.
+All of these are rates, smoothed by what no evidence amounts to (``NEVER``, ``UNSEEN``), so that the
+rules are the same at every size.  Gaps that an author marked inside a text don't count, nor a
+missing full stop alone in a source that is not strict about them.
 """
 
 from __future__ import annotations
@@ -33,12 +36,18 @@ from corpuschain.runtime import Scratch
 # What loaders append to a cut text.
 CUT_MARKS = ("[...]", "[…]", "(...)", "...", "…")
 TERMINATORS = ".!?؟۔。»”\""
-#: How many times as often a fragment begins longer words as it stands alone.
-FRAGMENT = 50
+#: How many times as often a fragment begins longer words as it stands alone; one never seen alone counts as seen so often.
+FRAGMENT, UNSEEN = 50, 0.06
+#: A rate that is practically never, once one more case is added to those seen.
+NEVER = 1 / 200
 _SENTENCE_ENDS = ".!?؟۔"
 _PAIRS = {"«": "»", "(": ")", "[": "]", "{": "}", "“": "”", "‹": "›"}
 _CLOSERS = {v: k for k, v in _PAIRS.items()}
-_SPECIAL = re.compile(r"[«»()\[\]{}“”‹›]|<[^<>]*>|<[^<>]*\Z")
+_SPECIAL = re.compile(r"[«»()\[\]{}“”‹›\"]|<!--|-->|<[^<>]*>")
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*?(/?)>")
+# Elements of HTML without an end tag, and those whose end tag may be left out.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+OPTIONAL = ("p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "colgroup", "html", "head", "body")
 #: Markup, entity or escape that the end of the value interrupts.
 _BROKEN_END = re.compile(r"<(?:/?[A-Za-z][^<>]*|/|!-?-?[^<>]*)?\Z|&(?:#(?:\d*|[xX][0-9a-fA-F]*)|[A-Za-z][A-Za-z0-9]{0,30})?\Z|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?\Z|%(?:[0-9A-Fa-f])?\Z")
 _MARKS = {c: None for c in [*range(0x610, 0x61B), 0x640, *range(0x64B, 0x660), 0x670, *range(0x6D6, 0x6EE)]}
@@ -49,21 +58,41 @@ FEATURES = "id bigint, source string, field string, n_chars int, n_bytes int, en
 
 
 def automaton(text: str) -> bool:
-    """True where a quote, bracket or tag is open at the end.
+    """True where a quote, bracket, comment or tag is open at the end.
 
     A closing sign without its opening one is ignored, as is one of another kind that stands
-    deeper: it closes back to its partner.  A tag is a construct of its own.
+    deeper: it closes back to its partner.  A straight quote closes the open one, if there is one,
+    and else opens where a word begins.  Signs inside a tag are the tag's own; void elements and those whose end tag may be left out don't stay open.
     """
     stack: list[str] = []
+
+    def close(sign: str) -> bool:
+        if sign not in stack:
+            return False
+        while stack.pop() != sign:
+            pass
+        return True
+
     for match in _SPECIAL.finditer(text):
         sign = match.group()
-        if sign[0] == "<":
+        if "<!--" in stack and sign != "-->":
             continue
-        if sign in _PAIRS:
+        if sign in _PAIRS or sign == "<!--":
             stack.append(sign)
-        elif _CLOSERS[sign] in stack:
-            while stack.pop() != _CLOSERS[sign]:
-                pass
+        elif sign in _CLOSERS:
+            close(_CLOSERS[sign])
+        elif sign == "-->":
+            close("<!--")
+        elif sign == '"':
+            before, after = text[match.start() - 1 : match.start()], text[match.end() : match.end() + 1]
+            if not close('"') and not (before and before.isalnum()) and after and not after.isspace():
+                stack.append('"')
+        elif tag := _TAG.fullmatch(sign):
+            name = tag.group(2).lower()
+            if tag.group(1):
+                close(f"<{name}")
+            elif not tag.group(3) and name not in VOID and name not in OPTIONAL:
+                stack.append(f"<{name}")
     return bool(stack)
 
 
@@ -117,9 +146,9 @@ def features(columns: Sequence[str]):
 def limits(values: DataFrame) -> DataFrame:
     """(source, field, unit, top): the sources whose lengths pile up at their greatest, from (source, field, length) counts.
 
-    A pile is at least 4 values and 1 % of the source within two units of the greatest length, eight times
-    what the thirty lengths below hold on average, with at most one value in 200 (but not
-    none at all only) above it.
+    A pile is 1 % of the source within two units of the greatest length, eight times what the thirty
+    lengths below hold on average (with five values more, so that a few long texts are no pile), with at
+    most one value in 200 (but not none at all only) above it.
     """
     lengths = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length")))
     counts = values.select("source", "field", F.inline(lengths)).groupBy("source", "field", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
@@ -134,9 +163,8 @@ def limits(values: DataFrame) -> DataFrame:
     )
     piles = seen.where(
         (F.coalesce("above", F.lit(0)) * 200 <= F.col("total"))
-        & (F.col("pile") >= 4)
         & (F.col("pile") * 100 >= F.col("total"))
-        & (F.col("pile") * 30 >= 8 * 3 * F.coalesce("below", F.lit(0)))
+        & (F.col("pile") * 30 >= 8 * 3 * (F.coalesce("below", F.lit(0)) + 5))
     )
     best = piles.groupBy("source", "field", "unit").agg(F.max_by("length", F.struct("n", "length")).alias("top"), F.max("pile").alias("pile"), F.max("n").alias("peak"))
     return best.groupBy("source", "field").agg(F.max_by(F.struct("unit", "top"), F.struct("peak", "pile", "unit")).alias("limit"))
@@ -160,10 +188,13 @@ def judge(df: DataFrame, key: str, source: str, columns: Sequence[str], value_en
     source_limits = limits(values).select(F.col("source").alias("s_"), F.col("field").alias("f_"), F.col("limit.unit").alias("unit"), F.col("limit.top").alias("top"))
     habit = values.groupBy(F.col("source").alias("h_"), F.col("field").alias("hf_")).agg(F.avg(F.when(~F.col("open"), F.col("ended").cast("double"))).alias("p_ended"))
     by_source = habit.join(source_limits, F.col("h_").eqNullSafe(F.col("s_")) & (F.col("hf_") == F.col("f_")), "left")
-    known = values.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("h_")) & (F.col("field") == F.col("hf_"))) if _few(by_source) else values.join(by_source, F.col("source").eqNullSafe(F.col("h_")) & (F.col("field") == F.col("hf_")))
+    known = values.join(by_source, F.col("source").eqNullSafe(F.col("h_")) & (F.col("field") == F.col("hf_")))
     length = F.when(F.col("unit") == "chars", F.col("n_chars")).otherwise(F.col("n_bytes"))
     at_limit = F.coalesce(length.between(F.col("top") - F.when(F.col("unit") == "chars", 1).otherwise(2), F.col("top")), F.lit(False)) & ~(F.col("ended") & (F.col("p_ended") >= 0.2))
-    known = known.withColumn("at_limit", at_limit)
+    known = scratch.cut(known.select("id", "source", "field", "ended", "open", "last", "prev", at_limit.alias("at_limit")), "known")
+    # How often a source leaves out the terminator of a value that has no other sign of a cut.
+    plain = known.where(~F.col("at_limit") & ~F.col("open")).groupBy("source", "field").agg(F.sum((~F.col("ended")).cast("bigint")).alias("left_out"), F.count(F.lit(1)).alias("n"))
+    strict = plain.where(F.col("left_out") + 1 <= NEVER * F.col("n")).select(F.col("source").alias("s_"), F.col("field").alias("f_"), F.lit(True).alias("strict"))
 
     complete = known.where(~F.col("at_limit") & ~F.col("open"))
     ends_here = F.col("field").isin(*value_ends) if value_ends else F.lit(False)
@@ -179,8 +210,8 @@ def judge(df: DataFrame, key: str, source: str, columns: Sequence[str], value_en
     shape = F.concat(F.substring("word", 1, 2), F.lit("_"), F.substring("word", -1, 1))
     shapes = counted.where(ends_here).groupBy("field", shape.alias("shape")).agg((F.sum("ends") * 20 >= F.sum("n_all")).alias("ender"))
     enders = counted.where(ends_here).withColumn("shape", shape).join(shapes.where("ender"), ["field", "shape"]).select("field", F.col("word").alias("last"), F.lit(True).alias("ender"))
-    never_last = counted.where((F.col("n_all") >= 200) & (F.col("ends") * 200 <= F.col("n_all"))).select("field", F.col("word").alias("last"), F.lit(True).alias("no_last"))
-    never_prev = counted.where((F.col("n_safe") >= 200) & (F.col("next_ends") * 200 <= F.col("n_safe"))).select("field", F.col("word").alias("prev"), F.lit(True).alias("no_prev"))
+    never_last = counted.where(F.col("ends") + 1 <= NEVER * F.col("n_all")).select("field", F.col("word").alias("last"), F.lit(True).alias("no_last"))
+    never_prev = counted.where(F.col("next_ends") + 1 <= NEVER * F.col("n_safe")).select("field", F.col("word").alias("prev"), F.lit(True).alias("no_prev"))
 
     # Fragments: last words that the corpus has far less often on their own than as beginnings of other words.
     open_ends = known.where(~F.col("ended") & F.col("last").isNotNull()).select("field", "last").distinct()
@@ -188,28 +219,25 @@ def judge(df: DataFrame, key: str, source: str, columns: Sequence[str], value_en
     ends = open_ends.join(own, ["field", "last"], "left").select("field", "last", F.coalesce("n_own", F.lit(0)).alias("n_own"))
     begins = words.where(F.length("word") > 1).select("field", F.col("n_safe").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i))).alias("last"))
     longer = ends.join(begins, ["field", "last"]).groupBy("field", "last", "n_own").agg(F.sum("n").alias("n_longer"))
-    fragments = longer.where((F.col("n_longer") >= 3) & (F.col("n_own") * FRAGMENT <= F.col("n_longer"))).select("field", "last", F.lit(True).alias("fragment"))
+    fragments = longer.where((F.col("n_own") + UNSEEN) * FRAGMENT <= F.col("n_longer")).select("field", "last", F.lit(True).alias("fragment"))
 
     judged = known.join(fragments, ["field", "last"], "left").join(never_last, ["field", "last"], "left").join(never_prev, ["field", "prev"], "left").join(enders, ["field", "last"], "left")
+    judged = judged.join(strict, F.col("source").eqNullSafe(F.col("s_")) & (F.col("field") == F.col("f_")), "left")
     reason = (
         F.when(F.col("at_limit"), "limit")
         .when(F.col("open"), "open")
         .when(~F.col("ended") & F.col("fragment"), "word")
         .when(~F.col("ended") & (F.col("no_last") | (F.col("no_prev") & F.col("ender").isNull())), "sentence")
+        .when(~F.col("ended") & F.col("strict"), "end")
     )
     return judged.select(F.col("id").alias(key), "field", F.col("source").cast(kind).alias(source), reason.alias("reason"))
 
 
-def _few(by_source: DataFrame) -> bool:
-    """Whether the table of sources is small enough to send to every task: at most 20,000 (source, field) rows."""
-    return by_source.limit(20_001).count() <= 20_000
-
-
 def rates(judged: DataFrame, source: str) -> DataFrame:
     """Values, cut values and their share for each source and field, and the counts of each reason."""
     return judged.groupBy(source, "field").agg(
         F.count(F.lit(1)).alias("n_values"),
         F.count("reason").alias("n_cut"),
         F.round(F.count("reason") / F.count(F.lit(1)), 6).alias("share_cut"),
-        *[F.sum((F.col("reason") == r).cast("bigint")).alias(f"n_{r}") for r in ("limit", "open", "word", "sentence")],
+        *[F.sum((F.col("reason") == r).cast("bigint")).alias(f"n_{r}") for r in ("limit", "open", "word", "sentence", "end")],
     )
