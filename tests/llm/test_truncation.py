@@ -76,7 +76,8 @@ def test_reasons_and_rates(spark):
 
 def test_a_missing_terminator_in_a_strict_source(spark):
     """Of 1,000 values of book 1 two lack the full stop, of book 2 every tenth."""
-    rows = [(n, 1, "the river of water" + ("" if n in (3, 500) else ".")) for n in range(1000)] + [(n, 2, "the river of water" + ("" if n % 10 == 0 else ".")) for n in range(1000, 2000)]
+    text = lambda n: "the river " + "on " * (n % 83) + "of water"
+    rows = [(n, 1, text(n) + ("" if n in (3, 500) else ".")) for n in range(1000)] + [(n, 2, text(n) + ("" if n % 10 == 0 else ".")) for n in range(1000, 2000)]
     got = tr.judge(spark.createDataFrame(rows, "id bigint, book int, t string"), "id", "book", ["t"]).where("reason IS NOT NULL").collect()
     assert {(r["id"], r["reason"]) for r in got} == {(3, "end"), (500, "end")}
 
