@@ -32,20 +32,22 @@ from pyspark.sql import functions as F
 
 from corpuschain.runtime import Scratch
 
-#: The free id of the vocabulary; it closes each document.
-SEPARATOR = 50_256
+#: How texts are cut before byte pairs are merged, where the folder has no module that says so.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``vocabulary``: a tiktoken rank file in ``folder`` with ids below 65,536.  ``shard``: slots of a shard.
-    ``groups``: groups of shards whose quotas the driver draws; the tasks draw within them."""
+    """``vocabulary``: a tiktoken rank file in ``folder`` with ids below 65,535; the first id after all of its own
+    closes each document.  ``pattern``: how the vocabulary's texts are cut.  ``shard``: slots of a shard.
+    ``group``: shards whose quotas the driver draws together; the tasks draw within them, one task for each group."""
 
     folder: str = "/opt/tokenizers"
     vocabulary: str = "byte_bpe_multi_50k.tiktoken"
+    pattern: str = PATTERN
     block: int = 512
     shard: int = 256
-    groups: int = 256
+    group: int = 64
     seed: int = 17
 
 
@@ -55,24 +57,21 @@ def source_key(source: Column) -> Column:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(folder: str, vocabulary: str):
+def tokenizer(folder: str, vocabulary: str, pattern: str):
+    """The encoding, and the id that closes a document: the first that no token has."""
     import tiktoken
 
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pass
     with (Path(folder) / vocabulary).open("rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("mixture", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    separator = max(ranks.values()) + 1
+    if separator > 65_535:
+        raise ValueError(f"{vocabulary} has ids up to {separator - 1}; tokens are packed in 16 bits, with one id left for the separator")
+    return tiktoken.Encoding("mixture", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), separator
 
 
 def encode(text: str, s: Settings) -> np.ndarray:
     """The tokens of a text, whole, and the separator.  A long text is encoded in pieces that end where a word begins, which no token crosses."""
-    enc = tokenizer(s.folder, s.vocabulary)
+    enc, separator = tokenizer(s.folder, s.vocabulary, s.pattern)
     text = text.encode("utf-8", "surrogatepass").decode("utf-8", "replace")
     ids: list[int] = []
     start = 0
@@ -82,7 +81,7 @@ def encode(text: str, s: Settings) -> np.ndarray:
         ids += enc.encode_ordinary(text[start:end])
         start = end
     ids += enc.encode_ordinary(text[start:])
-    return np.array([*ids, SEPARATOR], dtype="<u2")
+    return np.array([*ids, separator], dtype="<u2")
 
 
 def unpack(tokens: bytes) -> list[int]:
@@ -201,11 +200,11 @@ def slots(spark, plan: list[tuple[str, int, int, int]], s: Settings) -> DataFram
     if not total:
         return spark.createDataFrame([], schema)
     shards = -(-total // s.shard)
-    groups = min(s.groups, shards)
+    groups = -(-shards // s.group)
     rng = np.random.default_rng(s.seed)
     left, rows, first = np.array([q for _, _, q, _ in plan], dtype=np.int64), [], 0
     quota = left.copy()
-    for g in range(groups):  # the driver's part: at most ``groups`` draws
+    for g in range(groups):  # the driver's part: one draw for each s.group * s.shard slots
         last = shards * (g + 1) // groups
         n = min(s.shard * (last - first), int(left.sum()))
         own = draw(rng, left, n)
@@ -234,7 +233,7 @@ def slots(spark, plan: list[tuple[str, int, int, int]], s: Settings) -> DataFram
                     yield pd.DataFrame({"shard": shard, "slot": np.arange(n), "source": [plan[i][0] for i in which], "epoch": epoch, "block": block})
 
     groups_df = spark.createDataFrame(rows, "g int, first bigint, last bigint, own array<bigint>, used array<bigint>")
-    return groups_df.repartition(min(groups, 64), "g").mapInPandas(fill, schema)
+    return groups_df.repartition(groups, "g").mapInPandas(fill, schema)
 
 
 def mixture(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:

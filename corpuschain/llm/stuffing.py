@@ -1,8 +1,9 @@
 """Keyword-stuffed and link-list pages, by the shapes of their lines.
 
 Each line is reduced to a shape: its kind and its counts of words, capitals, separators
-and links, in coarse steps.  A page is grouped by shape and flagged where the few
-heaviest shapes that aren't sentences hold at least half of what it says.
+and links, in coarse steps.  A page is grouped by shape.  It is flagged where the shapes of one
+kind that isn't a sentence, or all such shapes together, hold at least half of what it says,
+however many shapes they are: a long mixed list has many, a page of one repeated line has one.
 
 Kinds that aren't sentences: lists (a separator for every few words), tags, links with
 little text around them, lines of a few words without an end mark, and long runs of few
@@ -43,8 +44,8 @@ _MARKS = {c: None for c in [*range(0x610, 0x61B), 0x640, *range(0x64B, 0x660), 0
 LINK_WORDS, SHORT, RUN, RUN_DISTINCT = 3, 4, 20, 0.45
 #: Words for each separator in a list at most.
 LIST_WORDS = 5.5
-#: Shapes that may make up a page, the share they must hold, and the least weight of a page.
-FEW, SHARE, LEAST = 6, 0.5, 20
+#: The share of a page that such shapes must hold, and the least weight of a page.
+SHARE, LEAST = 0.5, 20
 
 SENTENCE, APPARATUS = "sentence", "apparatus"
 
@@ -86,7 +87,7 @@ def line_shape(line: str) -> tuple[str, int]:
 
 
 def page(text: str | None) -> tuple[bool, float, str, int]:
-    """(flagged, share of the heaviest shapes that aren't sentences, the kind of the heaviest, weight of the page)."""
+    """(flagged, share of the shapes that aren't sentences, the heaviest kind of them, weight of the page)."""
     shapes: Counter[str] = Counter()
     text = text or ""
     text = text.translate(_DIRECT) if _ODD.search(text) else text
@@ -98,9 +99,12 @@ def page(text: str | None) -> tuple[bool, float, str, int]:
             shapes[shape] += weight
     shapes.pop(APPARATUS, None)
     total = sum(shapes.values())
-    others = Counter({s: w for s, w in shapes.items() if s != SENTENCE}).most_common(FEW)
-    share = sum(w for _, w in others) / total if total else 0.0
-    return total >= LEAST and share >= SHARE, share, others[0][0].split(":")[0] if others else SENTENCE, total
+    kinds: Counter[str] = Counter()
+    for shape, weight in shapes.items():
+        if shape != SENTENCE:
+            kinds[shape.split(":")[0]] += weight
+    share = sum(kinds.values()) / total if total else 0.0
+    return total >= LEAST and share >= SHARE, share, kinds.most_common(1)[0][0] if kinds else SENTENCE, total
 
 
 def pages(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,7 +8,8 @@ import pytest
 
 from corpuschain.llm import mixture as mx
 
-S = mx.Settings(block=16, shard=8, groups=3)
+S = mx.Settings(block=16, shard=8, group=4)
+SEPARATOR = mx.tokenizer(S.folder, S.vocabulary, S.pattern)[1]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
@@ -77,7 +78,7 @@ def test_mixture(spark):
             docs_found, one = Counter(), []
             for t in stream:
                 one.append(t)
-                if t == mx.SEPARATOR:
+                if t == SEPARATOR:
                     docs_found[tuple(one)] += 1
                     one = []
             assert not one and docs_found == want[source]
@@ -88,7 +89,7 @@ def test_mixture(spark):
         assert rep[source]["mixed_tokens"] == got and abs(rep[source]["share"] - got / total) < 1e-6
         assert abs(got / total - share / 0.9) < 0.02
     shards = Counter(r["shard"] for r in slots)
-    assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots) and all(n == S.shard for k, n in shards.items() if k < max(shards) - S.groups)
+    assert len({(r["shard"], r["slot"]) for r in slots}) == len(slots) and all(n == S.shard for k, n in shards.items() if k < max(shards) - S.group)
 
 
 def test_same_for_any_partitioning(spark):
@@ -105,7 +106,7 @@ def test_long_text_round_trip():
     text = "كتاب the river  " * 20_000
     s = mx.Settings()
     ids = mx.encode(text, s).tolist()
-    assert ids[-1] == mx.SEPARATOR and mx.tokenizer(s.folder, s.vocabulary).decode(ids[:-1]) == text
+    assert ids[-1] == SEPARATOR and mx.tokenizer(s.folder, s.vocabulary, s.pattern)[0].decode(ids[:-1]) == text
 
 
 def test_empty(spark):
@@ -113,3 +114,12 @@ def test_empty(spark):
     mixed, report = mx.mixture(docs, "doc_id", "text", "source", targets, S)
     assert mixed.count() == 0 and [r["share"] for r in report.collect()] == [0.0] * 4
     assert mx.mixture(docs.limit(0), "doc_id", "text", "source", targets.limit(0), S)[0].count() == 0
+
+
+def test_another_vocabulary_has_its_own_separator(tmp_path):
+    import base64
+
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b"abc"]
+    (tmp_path / "small.tiktoken").write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(ranks)))
+    s = mx.Settings(folder=str(tmp_path), vocabulary="small.tiktoken")
+    assert mx.encode("abc d", s).tolist() == [257, 32, 100, 258]

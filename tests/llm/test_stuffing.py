@@ -21,6 +21,7 @@ SPAM = {
     "links": "\n".join(f"https://a{i}.example/x/y" for i in range(12)), "anchors": " ".join(f"[word {i}](http://b{i}.test/q)" for i in range(12)),
     "bare": "\n".join(f"name - c{i}.example/path" for i in range(12)), "tags": " ".join(f"#river_{i}" for i in range(30)),
     "menu": "\n".join(" | ".join(RNG.sample(["a1", "bb", "cc", "dd", "ee", "ff"], 6)) + " http://x.test/y" for _ in range(8)),
+    "many shapes": "\n".join(sep.join((w.title() if n % 3 else w) for w in (WORDS * 3)[: 2 + n % 9]) + (" |" if n % 2 else " · x") for n, sep in enumerate([" | ", ", ", " · ", "; "] * 8)),
     "after a sentence": "A short sentence stands here.\n" + chosen(60, " | "),
 }
 HARMLESS = {
