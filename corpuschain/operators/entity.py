@@ -12,6 +12,10 @@ from corpuschain.operators.graph import connected
 
 # Words between names.
 SON = ("بن", "ابن")
+# Fixed values (search forms): "father of" and "mother of", the servant's prefix, and marks of generation.
+TEKNONYMS = ("ابو", "ابا", "ام")
+SERVANT = "عبد"
+GENERATIONS = ("الكبير", "الاكبر", "الحفيد", "حفيد", "الاصغر", "الصغير", "الابن", "الاب", "الجد")
 
 
 def name_tokens(name: Column) -> Column:
@@ -25,16 +29,30 @@ def nisbas(name: Column) -> Column:
 
 
 def lineage(name: Column) -> Column:
-    """The names on either side of "son of", in order: own name, father, grandfather; a servant's name keeps both words."""
-    chain = F.split(F.regexp_replace(normalize(name), r" (?:بن|ابن) ", " | "), r" \| ")
-    first = lambda part: F.when(F.rlike(part, F.lit(r"^(?:عبد|عبيد) \S+")), F.regexp_extract(part, r"^(\S+ \S+)", 1)).otherwise(F.regexp_extract(part, r"^(\S+)", 1))
-    return F.filter(F.transform(chain, first), lambda w: w != "")
+    """A man's own name, his father's, his grandfather's and so on, each with all its words.
+
+    It ends where his own descriptors begin: a teknonym, an origin or a mark of generation that does not follow "son of";
+    an origin after "servant of" completes the name.
+    """
+    own = words(normalize(name))
+    before = lambda i, n: F.coalesce(F.get(own, i - n), F.lit(SON[0]))
+
+    def describes(t: Column, i: Column) -> Column:
+        origin = F.startswith(t, F.lit("ال")) & F.endswith(t, F.lit("ي")) & (F.length(t) >= 4)
+        servant = (before(i, F.lit(1)) == SERVANT) & before(i, F.lit(2)).isin(*SON)
+        begins = (i > 0) & before(i, F.lit(1)).isin(*SON)
+        return ~t.isin(*SON) & ~begins & (t.isin(*TEKNONYMS, *GENERATIONS) | (origin & ~servant))
+
+    stop = F.array_position(F.transform(own, describes), F.lit(True)).cast("int")
+    kept = F.when(stop > 0, F.slice(own, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(own)
+    marked = F.array_join(F.transform(kept, lambda t: F.when(t.isin(*SON), F.lit("|")).otherwise(t)), " ")
+    return F.filter(F.transform(F.split(marked, r"\|"), lambda part: F.trim(part)), lambda part: part != "")
 
 
 def ident_key(name: Column) -> Column:
-    """The block of a name: own name and father, or the first three words where no father is given."""
+    """The block of a name: own name and father, or the own name alone, or the first three words where no lineage is found."""
     line = lineage(name)
-    return F.when(F.size(line) >= 2, F.concat_ws(" بن ", line[0], line[1])).otherwise(F.array_join(F.slice(words(normalize(name)), 1, 3), " "))
+    return F.when(F.size(line) >= 1, F.array_join(F.slice(line, 1, 2), " ")).otherwise(F.array_join(F.slice(words(normalize(name)), 1, 3), " "))
 
 
 def block_pairs(df: DataFrame, key: str, block: Column, extra: Sequence[str] = ()) -> DataFrame:
@@ -45,40 +63,58 @@ def block_pairs(df: DataFrame, key: str, block: Column, extra: Sequence[str] = (
     return a.join(b, "block").where(F.col("a") < F.col("b"))
 
 
-def same_man(line_a: Column, line_b: Column, nisbas_a: Column, nisbas_b: Column, year_a: Column, year_b: Column, kunya_a: Column, kunya_b: Column, trusted_a: Column, trusted_b: Column, years: int = 20) -> Column:
-    """Whether two names of one block are one man.
+#: What the same-person rule looks at, and how many years two dates of death may differ.
+TRAITS = ("line", "nisbas", "marks", "year", "kunya", "rank")
+YEARS = 20
+#: Rank from which a judgement trusts a narrator, and that of a Companion.
+TRUSTED, COMPANION = 5, 10
+
+
+def traits(name: Column, year: Column, kunya: Column, rank: Column) -> list[Column]:
+    marks = F.array_sort(F.array_intersect(name_tokens(name), F.array(*map(F.lit, GENERATIONS))))
+    folded = normalize(kunya)
+    return [lineage(name).alias("line"), nisbas(name).alias("nisbas"), marks.alias("marks"), year.cast("int").alias("year"), F.when(folded != "", folded).alias("kunya"), rank.alias("rank")]
 
-    The lineages must agree as far as both go; origins that exclude each other say no; a shared origin says yes unless
-    one is trusted and the other is not; else the dates of death decide, else the teknonyms, else no.
-    """
-    shared = F.least(F.size(line_a), F.size(line_b))
-    agree = F.slice(line_a, 1, shared) == F.slice(line_b, 1, shared)
-    both = (F.size(nisbas_a) > 0) & (F.size(nisbas_b) > 0)
-    meet = F.size(F.array_intersect(nisbas_a, nisbas_b)) > 0
-    clash = F.coalesce(trusted_a != trusted_b, F.lit(False))
-    dated = year_a.isNotNull() & year_b.isNotNull()
-    return F.coalesce(
-        F.when(~agree, F.lit(False)).when(both & ~meet, F.lit(False)).when(meet & ~clash, F.lit(True)).when(dated, F.abs(year_a - year_b) <= years).when(kunya_a.isNotNull() & kunya_b.isNotNull(), kunya_a == kunya_b).otherwise(F.lit(False)),
-        F.lit(False),
-    )
 
+def same_man(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two names of one block are one man, from the ``traits`` of both.
 
-def collapse(df: DataFrame, key: str, name: str, year: str, kunya: str, rank: str, trusted_from: int = 5) -> DataFrame:
+    The lineages must agree as far as both go, and so must the marks of generation; origins that exclude each other say no.
+    A shared origin says yes, but no where one is trusted and the other weak.  Else the dates of death decide, else the
+    teknonyms.  Three agreeing generations say yes where nothing of these does, unless the judgements clash or one alone is a Companion.
+    """
+    shared = F.least(F.size(a["line"]), F.size(b["line"]))
+    agree = (shared > 0) & (F.slice(a["line"], 1, shared) == F.slice(b["line"], 1, shared)) & (a["marks"] == b["marks"])
+    meet = F.size(F.array_intersect(a["nisbas"], b["nisbas"])) > 0
+    apart = (F.size(a["nisbas"]) > 0) & (F.size(b["nisbas"]) > 0) & ~meet
+    clash = F.coalesce((a["rank"] >= TRUSTED) != (b["rank"] >= TRUSTED), F.lit(False))
+    eras = F.coalesce((a["rank"] == COMPANION) != (b["rank"] == COMPANION), F.lit(False))
+    dated, both_kunya = a["year"].isNotNull() & b["year"].isNotNull(), a["kunya"].isNotNull() & b["kunya"].isNotNull()
+    plain = F.when(meet, ~clash).when(dated, F.abs(a["year"] - b["year"]) <= YEARS).when(both_kunya, a["kunya"] == b["kunya"]).otherwise(F.lit(False))
+    deep = (shared >= 3) & ~clash & ~eras
+    return F.coalesce(agree & ~apart & (plain | deep), F.lit(False))
+
+
+def collapse(df: DataFrame, key: str, name: str, year: str, kunya: str, rank: str) -> DataFrame:
     """(key, man): each record with the smallest key among the records of the same man.
 
-    Records that agree in all that ``same_man`` looks at are one profile; different profiles of one block are compared,
-    and what is the same directly or through others is one man.  Records without a name stand alone.
+    Records that agree in all ``traits`` are one profile; profiles of one block that share an origin, a teknonym, a
+    grandfather or dates of death within reach of each other are compared, as no others can be the same, so that a
+    frequent pair of names is divided.  What is the same directly or through others is one man.  Records without a name stand alone.
     """
-    seen = df.select(
-        F.col(key).cast("bigint").alias("k"), ident_key(F.col(name)).alias("block"), lineage(F.col(name)).alias("line"), nisbas(F.col(name)).alias("nisbas"),
-        F.col(year).alias("year"), normalize(F.col(kunya)).alias("kunya"), (F.col(rank) >= trusted_from).alias("trusted"),
-    )
-    parts = ["block", "line", "nisbas", "year", "kunya", "trusted"]
+    seen = df.select(F.col(key).cast("bigint").alias("k"), ident_key(F.col(name)).alias("block"), *traits(F.col(name), F.col(year), F.col(kunya), F.col(rank)))
+    parts = ["block", *TRAITS]
     shaped = seen.withColumn("shape", F.sha2(F.to_json(F.struct(*parts)), 256))
     profiles = shaped.where(F.coalesce("block", F.lit("")) != "").groupBy("shape").agg(F.min("k").alias("p"), *[F.first(c).alias(c) for c in parts])
-    pairs = block_pairs(profiles, "p", F.col("block"), parts[1:])
-    pair = lambda c: (F.col(f"{c}_a"), F.col(f"{c}_b"))
-    same = pairs.where(same_man(*pair("line"), *pair("nisbas"), *pair("year"), *pair("kunya"), *pair("trusted"))).select("a", "b")
+    step = F.floor(F.col("year") / (YEARS + 1))
+    spots = F.concat(
+        F.transform("nisbas", lambda n: F.concat(F.lit("n"), n)),
+        F.array_compact(F.array(F.concat(F.lit("k"), "kunya"), F.concat(F.lit("g"), F.get("line", F.lit(2))), F.concat(F.lit("y"), step.cast("string")), F.concat(F.lit("y"), (step + 1).cast("string")))),
+    )
+    spread = profiles.select("p", *TRAITS, F.explode(F.transform(spots, lambda x: F.concat(F.col("block"), F.lit("|"), x))).alias("spot"))
+    pairs = block_pairs(spread, "p", F.col("spot"), TRAITS)
+    side = lambda s: {c: F.col(f"{c}_{s}") for c in TRAITS}
+    same = pairs.where(same_man(side("a"), side("b"))).select("a", "b").distinct()
     men = connected(same).withColumnRenamed("id", "p")
     of_shape = profiles.select("shape", "p").join(men, "p", "left").select("shape", F.coalesce("component", "p").alias("man"))
     return shaped.select("k", "shape").join(of_shape, "shape", "left").select(F.col("k").alias(key), F.coalesce("man", "k").alias("man"))

@@ -79,7 +79,7 @@ def apply_context(chains: DataFrame, chain: str, pos: str, name: str, known: Dat
     return joined.withColumn("resolved", F.when(short & extends, F.col("_full")).otherwise(F.col(name))).drop("_prev", "_next", "_full")
 
 
-def propagate(positions: DataFrame, network: DataFrame, rounds: int = 64) -> DataFrame:
+def propagate(positions: DataFrame, network: DataFrame) -> DataFrame:
     """(chain, pos, resolved): ambiguous positions resolved from resolved neighbours until nothing changes.
 
     ``positions`` has chain, pos, candidates (array of names) and route_start; one candidate is resolved.
@@ -93,7 +93,7 @@ def propagate(positions: DataFrame, network: DataFrame, rounds: int = 64) -> Dat
     state = positions.select("chain", "pos", F.array_distinct("candidates").alias("candidates"), F.coalesce("route_start", F.lit(False)).alias("route_start"))
     state = scratch.cut(state.withColumn("resolved", F.when(F.size("candidates") == 1, F.col("candidates")[0])), "state")
     along = Window.partitionBy("chain").orderBy("pos")
-    for _ in range(rounds):
+    while True:  # each round resolves a position or is the last
         near = state.select(
             "*",
             F.when(~F.col("route_start"), F.lag("resolved").over(along)).alias("before"),

@@ -1,4 +1,4 @@
-"""Lexical retrieval: an inverted index as a table, weighted BM25, filters and facets.
+"""Lexical retrieval: weighted BM25 over a table (``index`` has the stored one), filters and facets.
 
 Scores are one aggregation over the postings of the query's terms only: those are filtered
 before any shuffle, and the statistics of a term (how many records have it) come from the
@@ -22,19 +22,6 @@ WEIGHTS = {"matn": 10.0, "chapter": 4.0, "isnad": 1.0}
 FLOOR = 1e-6
 
 
-def postings(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:
-    """(id, field, term, tf): how often each term stands in each column; ``columns`` gives their arrays of words."""
-    listed = F.array(*[F.struct(F.lit(name).alias("field"), F.coalesce(words, F.array().cast("array<string>")).alias("words")) for name, words in columns.items()])
-    rows = df.select(F.col(key).alias("id"), F.inline(listed)).select("id", "field", F.explode("words").alias("term"))
-    return rows.groupBy("id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def lengths(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:
-    """(id, length): words of a record over all columns."""
-    sizes = [F.coalesce(F.size(w), F.lit(0)) for w in columns.values()]
-    return df.select(F.col(key).alias("id"), sum(sizes[1:], sizes[0]).cast("bigint").alias("length"))
-
-
 def term_frequencies(words_by_id: DataFrame, key: str, words: Column) -> DataFrame:
     """(term, df): how many records have each term."""
     return words_by_id.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -54,8 +41,7 @@ def bm25(df: DataFrame, key: str, columns: Mapping[str, Column], terms: Sequence
     split = df.select(F.col(key).alias("id"), *[words.alias(f"w_{f}") for f, words in columns.items()])
     sizes = [F.coalesce(F.size(f"w_{f}"), F.lit(0)) for f in columns]
     length = sum(sizes[1:], sizes[0]).cast("bigint")
-    totals = split.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean")).first()  # one row
-    n, mean = F.lit(totals["n"]), F.lit(totals["mean"] or 1.0)
+    n, mean = split.agg(F.count(F.lit(1))).scalar(), split.agg(F.avg(length)).scalar()
     hits_of = [
         F.struct(F.lit(float(weights.get(f, 1.0))).alias("w"), F.coalesce(F.filter(f"w_{f}", lambda t: t.isin(*terms)), F.array().cast("array<string>")).alias("terms"))
         for f in columns
@@ -63,12 +49,17 @@ def bm25(df: DataFrame, key: str, columns: Mapping[str, Column], terms: Sequence
     ]
     found = split.select("id", length.alias("length"), F.inline(F.array(*hits_of))).select("id", "length", "w", F.explode("terms").alias("term"))
     per_term = found.groupBy("id", "term").agg(F.sum("w").alias("f"), F.first("length").alias("length"))
+    return scored(per_term, n, mean, terms, match)
+
+
+def scored(per_term: DataFrame, n: Column, mean: Column, terms: Sequence[str], match: str) -> DataFrame:
+    """(id, score, n_terms) from (id, term, f, length) of the query's terms, the number of records and their mean length."""
     spread = per_term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rated = spread.select("term", F.when(idf > 0, idf).otherwise(FLOOR).alias("idf"))
-    scored = per_term.join(F.broadcast(rated), "term")  # as many rows as the query has terms
+    rated_terms = per_term.join(F.broadcast(rated), "term")  # as many rows as the query has terms
     gain = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
-    hits = scored.groupBy("id").agg(F.round(F.sum(gain), 9).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    hits = rated_terms.groupBy("id").agg(F.round(F.sum(gain), 9).alias("score"), F.count(F.lit(1)).alias("n_terms"))
     if match == "and":
         return hits.where(F.col("n_terms") == len(terms))
     if match == "auto":

@@ -30,14 +30,15 @@ def compress(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     return df.groupBy(key, *values).agg(F.count(F.lit(1)).alias(N))
 
 
-def heavy_keys(df: DataFrame, key: str, percent: int = 1) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, percent: int = 1, value: str | None = None) -> DataFrame:
     """Keys with at least ``percent`` % of all rows, with ``n_rows``; compared in whole numbers.
 
+    Rows are counted by key and ``value`` first, so that a hot key arrives as many groups.
     Rows with a null key count towards the total, but null is no key.  An empty table has
     no heavy key.  The total is a scalar subquery over no column.
     """
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(N))
+    counts = compress(df.where(F.col(key).isNotNull()), key, [value] if value else []).groupBy(key).agg(F.sum(N).alias(N))
     return counts.where(F.col(N) * 100 >= total * percent)
 
 

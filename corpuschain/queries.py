@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuschain.functions import extract as X
 from corpuschain.functions import grades as G
 from corpuschain.functions import text as T
-from corpuschain.operators import books, entity, graph, overlap, search, skew
+from corpuschain.operators import books, entity, graph, index, overlap, search, skew
 from corpuschain.plans import retrieval
 from corpuschain.sources import io
 from corpuschain.sqltext import bm25_sql, grades_sql, latin_sql, norm_sql, quoted, strip_sql, words_sql
@@ -20,7 +20,7 @@ from corpuschain.tables import table, texts
 Query = Callable[[SparkSession, str], DataFrame]
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return skew.heavy_keys(table(spark, sf, "link"), "teacher", percent=1).select("teacher")
+    return skew.heavy_keys(table(spark, sf, "link"), "teacher", percent=1, value="student").select("teacher")
 
 
 def p7_teachers(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,23 +59,32 @@ def _hits(df: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    docs = texts(spark, sf, "documents").withColumnRenamed("doc_id", "id")
-    hits = search.bm25(docs, "id", {"text": T.latin_words(F.col("text"))}, ENGLISH, match="or")
+    docs = texts(spark, sf, "documents")
+    hits = index.kept("documents", sf, docs, "doc_id", {"text": T.latin_words(F.col("text"))}).search(ENGLISH, {"text": 1.0}, "or")
     return _hits(search.ranked(hits, TOP, F.desc("score"), F.asc("id")))
 
 
+def _reports(spark: SparkSession, sf: str) -> index.Index:
+    return retrieval.indexed(texts(spark, sf, "hadith"), sf)
+
+
+def index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored index of the reports holds of each term and column."""
+    return _reports(spark, sf).postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n_records"), F.sum("tf").alias("n_places"), F.sum("length").alias("length"))
+
+
 def _search(match: str, where=None, fields=None, terms=SEARCHED) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _hits(retrieval.lexical(texts(spark, sf, "hadith"), terms, TOP, match, where, fields))
+        return _hits(retrieval.lexical(_reports(spark, sf), terms, TOP, match, where, fields))
 
     return run
 
 
 def facets(spark: SparkSession, sf: str) -> DataFrame:
     """Books and grades of all reports that match any term."""
-    h = texts(spark, sf, "hadith")
-    hits = search.bm25(h, "id", search.report_words(), SEARCHED, search.WEIGHTS, "or")
-    return search.facet_counts(h.join(hits.select("id"), "id", "left_semi"), "book_id", "grade")
+    known = _reports(spark, sf)
+    hits = known.of(SEARCHED).select("id")
+    return search.facet_counts(known.records.join(hits, "id", "left_semi"), "book_id", "grade")
 
 
 def facets_multi_select(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +149,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
     h, v = texts(spark, sf, "hadith"), table(spark, sf, "vec")
     query = v.orderBy("id").select("v").head()
-    lexical = retrieval.lexical(h, SEARCHED, 80, "or")
+    lexical = retrieval.lexical(_reports(spark, sf), SEARCHED, 80, "or")
     return retrieval.hybrid(lexical, v, query["v"] if query else [1.0], retrieval.reports(h), TOP)
 
 
@@ -152,7 +161,7 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
 
 def cited_answer(spark: SparkSession, sf: str) -> DataFrame:
     h = texts(spark, sf, "hadith")
-    return retrieval.cited_answer(retrieval.lexical(h, SEARCHED, 5), h, table(spark, sf, "book"))
+    return retrieval.cited_answer(retrieval.lexical(_reports(spark, sf), SEARCHED, 5), h, table(spark, sf, "book"))
 
 
 # -- parallels ------------------------------------------------------------------------------
@@ -194,8 +203,9 @@ def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
 
 def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:
     h = texts(spark, sf, "hadith")
-    hits = retrieval.lexical(h, SEARCHED, 500, "or").join(h.select("id", T.words(T.normalize(F.col("matn"))).alias("words")), "id")
-    return overlap.leaders(hits, "rank", "id", "words")
+    """All hits of a search, best first, with their leaders."""
+    found = retrieval.lexical(_reports(spark, sf), SEARCHED, None, "or").select("id", (-F.col("score")).alias("order"))
+    return overlap.leaders(found.join(h.select("id", T.words(T.normalize(F.col("matn"))).alias("words")), "id"), "order", "id", "words")
 
 
 # -- chains and networks --------------------------------------------------------------------
@@ -408,6 +418,7 @@ def queries() -> dict[str, Query]:
         p7_teachers,
         p7_narrators,
         bm25_topk,
+        index_build,
         facets,
         facets_multi_select,
         term_df,
@@ -549,13 +560,21 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
             r AS (SELECT id, id AS top FROM k UNION SELECT r.id, e.b FROM r JOIN e ON r.top = e.a), g AS (SELECT id, min(top) AS component FROM r GROUP BY id)
             SELECT w.doc_id, g.component FROM w JOIN k ON w.ws = k.ws JOIN g ON g.id = k.id""",
+        "index_build": "SELECT field, term, count(*) AS n_records, CAST(sum(tf) AS BIGINT) AS n_places, CAST(sum(length) AS BIGINT) AS length FROM (SELECT id, field, term, count(*) AS tf, any_value(length) AS length FROM ("
+        + " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest({w}) AS term, {' + '.join(f'coalesce(len({x}), 0)' for x in words.values())} AS length FROM hadith" for f, w in words.items())
+        + ") GROUP BY id, field, term) GROUP BY field, term",
+        # the survey's rules for bodies: missing beside a chain, begins as a chain, an editor's note, a heading or a verse alone
         "flag_body": f"""
-            WITH k AS (SELECT id, matn, {norm_sql('matn')} AS key FROM hadith),
-            f AS (SELECT *, regexp_matches(key, '^(?:و)?(?:حدثنا|حدثني|اخبرنا|اخبرني|انبانا|انباني|ثنا) ') AS v FROM k)
-            SELECT id, concat(CASE WHEN v THEN 'V' END, CASE WHEN NOT v AND len(regexp_extract_all(key, 'حدثنا|حدثني|اخبرنا|اخبرني|انبانا')) >= 2 THEN 'I' END,
-                CASE WHEN matn IS NULL OR trim(matn) = '' THEN 'E' END,
-                CASE WHEN len(replace(matn, '«', '')) <> len(replace(matn, '»', '')) THEN 'Q' END,
-                CASE WHEN regexp_matches(key, 'هذا حديث|هذا اسناد|علي شرط|لم يخرجاه|اخرجاه') THEN 'G' END) AS flags FROM f""",
+            WITH k AS (SELECT id, coalesce(matn, '') AS m, coalesce(isnad, '') AS c, coalesce({norm_sql('matn')}, '') AS b, coalesce({norm_sql('isnad')}, '') AS l,
+                              coalesce({norm_sql("regexp_replace(coalesce(matn, ''), '﴿[^﴾]*﴾', ' ', 'g')")}, '') AS rest FROM hadith),
+            n AS (SELECT *, len({words_sql('b')}) AS bw, len({words_sql('l')}) AS lw, {words_sql('b')} AS ws,
+                         regexp_matches(b || chr(10) || l || chr(10), 'نحوه|مثله|نحو ذلك|مثل ذلك|فذكر|بهذا|باسناده|بسنده|بمعناه|الحديث\n') AS refers FROM k)
+            SELECT id, concat(
+                CASE WHEN NOT refers AND ((bw = 0 AND lw >= 6) OR (bw <= 3 AND lw >= 8 AND (contains(c, '«') OR contains(c, chr(34)) OR contains(c, '“')))) THEN 'V' END,
+                CASE WHEN NOT refers AND (list_has_any(ws[1:2], ['حدثنا', 'حدثني', 'اخبرنا', 'اخبرني', 'انبانا', 'انباني', 'ثنا']) OR b LIKE 'عن %') THEN 'I' END,
+                CASE WHEN regexp_matches(b, 'هذا حديث|هذا اسناد|هذا خبر|علي شرط|اخرجاه|وفي الباب|قال ابو داود|قال ابو عيسي|تلخيص الذهبي')
+                       OR regexp_matches(replace(b, 'اخرجه الله', ''), 'اخرجه') OR regexp_matches(replace(b, 'رواه عنه', ''), 'رواه') THEN 'G' END,
+                CASE WHEN ws[1] IN ('باب', 'كتاب', 'فصل', 'جماع') OR ((contains(m, '﴿') OR contains(m, '﴾')) AND len({words_sql('rest')}) <= 3) THEN 'Q' END) AS flags FROM n""",
         "edge_weights": f"SELECT teacher, student, count(*) AS weight FROM ({adjacent}) GROUP BY ALL",
         "node_freq": f"SELECT name AS node, count(*) AS freq, arg_min(pos, [chain, pos]) AS first_pos FROM ({sequences}) GROUP BY name",
         "adjacency": """

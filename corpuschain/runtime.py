@@ -8,6 +8,8 @@ unlike ``Dataset.checkpoint`` the plan behind it runs once.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -72,6 +74,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_written: list[Scratch] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Deletes what operators have written: results read it lazily, so it stays as long as the application."""
+    for scratch in _written:
+        with contextlib.suppress(Exception):  # a session that has ended has no file system to ask
+            scratch._delete([scratch.root])
+
+
 class Scratch:
     """Tables written to the shared folder by one run of an operator.
 
@@ -85,6 +98,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
         self._serial = 0
+        _written.append(self)
 
     def write(self, df: DataFrame, name: str) -> str:
         self._serial += 1

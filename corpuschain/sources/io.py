@@ -27,13 +27,24 @@ BOOK = (
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One record a line; blank lines are skipped, damaged ones kept out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """One record a line; blank lines are skipped, damaged ones are in ``damaged_lines``."""
+    return _lines(spark, path, schema).where("r._damaged IS NULL").select("r.*").drop("_damaged")
+
+
+def damaged_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line): the lines that are no record, for a report; none is lost without a word."""
+    return _lines(spark, path, schema).where("r._damaged IS NOT NULL").select("file", F.col("r._damaged").alias("line"))
+
+
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(r, file): each line that is not blank as a record, with ``_damaged`` the line itself where it is none."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_name").alias("file"))
+    return lines.select(F.from_json("value", f"{schema}, _damaged STRING", {"columnNameOfCorruptRecord": "_damaged"}).alias("r"), "file")
 
 
 def corpus(spark: SparkSession, folder: str, schema: str = REPORT) -> DataFrame:
     """All line-JSON files of a folder with the file each record came from, whose names give the order."""
-    return json_lines(spark, folder, schema).withColumn("file", F.col("_metadata.file_name"))
+    return _lines(spark, folder, schema).where("r._damaged IS NULL").select("r.*", "file").drop("_damaged")
 
 
 def books(spark: SparkSession, path: str) -> DataFrame:

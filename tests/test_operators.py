@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuschain import queries
-from corpuschain.operators import books, entity, graph, overlap, search
+from corpuschain.operators import books, entity, graph, index, overlap, search
 
 VOCAB = [f"w{i}" for i in range(40)]
 
@@ -100,6 +100,7 @@ def test_against_and_leaders(spark):
     assert got == want
     ranked = frame(spark, {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["x"], 4: []}).withColumn("rank", F.col("id"))
     assert {tuple(r) for r in overlap.leaders(ranked, "rank", "id", "words").collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    assert {tuple(r) for r in overlap.leaders(ranked, "rank", "id", "words", cap=1).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
 
 
 def test_networks(spark):
@@ -176,7 +177,7 @@ def test_books(spark):
 def test_entities(spark):
     df = spark.createDataFrame([(1, "عبد الله بن زيد بن ثابت الأنصاري"), (2, "زيد بن عمرو المدني"), (3, "أبو بكر"), (4, None)], "i int, n string")
     r = {x["i"]: x for x in df.select("i", entity.lineage(F.col("n")).alias("l"), entity.ident_key(F.col("n")).alias("k"), entity.nisbas(F.col("n")).alias("s")).collect()}
-    assert r[1]["l"] == ["عبد الله", "زيد", "ثابت"] and r[1]["k"] == "عبد الله بن زيد" and r[1]["s"] == ["الانصاري"]
+    assert r[1]["l"] == ["عبد الله", "زيد", "ثابت"] and r[1]["k"] == "عبد الله زيد" and r[1]["s"] == ["الانصاري"]
     assert r[3]["k"] == "ابو بكر" and r[4]["l"] is None
     rows = [(1, 2, None, "s"), (1, 1, "x", None), (1, 3, "y", "t"), (2, 9, None, None)]
     merged = entity.merged_gaps(spark.createDataFrame(rows, "g int, o int, a string, b string"), "g", ["o"], ["a", "b"])
@@ -224,6 +225,44 @@ def test_collapse(spark):
     assert entity.collapse(df.limit(0), "i", "n", "y", "k", "r").count() == 0
 
 
+def test_lineage(spark):
+    for name, line in [
+        ("محمد بن أبي بكر", ["محمد", "ابي بكر"]), ("محمد بن أبي طالب", ["محمد", "ابي طالب"]), ("هشام بن عمار بن نصير السلمي الدمشقي", ["هشام", "عمار", "نصير"]),
+        ("عمار بن ياسر أبو اليقظان", ["عمار", "ياسر"]), ("عبد الأعلى بن عبد الغني الكوفي", ["عبد الاعلي", "عبد الغني"]), ("أحمد بن علي الصغير", ["احمد", "علي"]), ("أبو بكر", []),
+    ]:
+        got = spark.createDataFrame([(name,)], "n string").select(entity.lineage(F.col("n")).alias("l")).first()["l"]
+        assert got == line, (name, got)
+
+
+def test_different_men_stay_apart(spark):
+    rows = [
+        (1, "محمد بن أبي بكر", 100, None, 9), (2, "محمد بن أبي طالب", 110, None, 9),  # other fathers
+        (3, "زيد بن عمرو المدني", 100, None, 9), (4, "زيد بن عمرو المدني", 110, None, 2),  # one trusted, one weak
+        (5, "أحمد بن علي الكبير", 200, None, 9), (6, "أحمد بن علي الصغير", 205, None, 9),  # generations
+        (7, "يحيى بن سعيد بن قيس الأنصاري", None, None, 9), (8, "يحيى بن سعيد بن قيس بن عمرو", None, None, 8),  # three generations agree
+        (9, "بكر بن سعد بن قيس", None, None, 10), (10, "بكر بن سعد بن قيس بن زيد", None, None, 9),  # a Companion and another
+    ]
+    df = spark.createDataFrame(rows, "i bigint, n string, y int, k string, r int")
+    assert {x["i"]: x["man"] for x in entity.collapse(df, "i", "n", "y", "k", "r").collect()} == {i: 7 if i == 8 else i for i in range(1, 11)}
+
+
+def test_stored_index(spark, tmp_path):
+    """Scores are those of the table itself; a search reads the folders of its terms only."""
+    rng = random.Random(5)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(rng.randrange(6))] or None, [rng.choice("abxy")], "k") for i in range(200)]
+    df = spark.createDataFrame(rows, "i bigint, t array<string>, u array<string>, term string")
+    columns, weights = {"t": F.col("t"), "u": F.col("u")}, {"t": 3.0, "u": 1.0}
+    made = index.build(df, "i", columns, str(tmp_path / "x"), {"kind": F.col("term")}, buckets=8)
+    for match, fields in (("or", None), ("and", None), ("auto", None), ("or", ["u"])):
+        want = {tuple(r) for r in search.bm25(df, "i", columns, ["a", "x", "nowhere"] if match == "auto" else ["a", "x"], weights, match, fields).collect()}
+        got = {tuple(r) for r in made.search(["a", "x", "nowhere"] if match == "auto" else ["a", "x"], weights, match, fields).collect()}
+        assert got == want and got
+    plan = made.of(["a"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,a)]" in plan
+    assert made.records.count() == 200 and made.statistics.first()["n"] == 200
+    assert index.build(df.limit(0), "i", columns, str(tmp_path / "e")).search(["a"], weights).count() == 0
+
+
 def test_overlap_parallels_by_meaning(spark, tmp_path):
     """The registered query keeps parallels from 0.40 on."""
     texts = {20: "ب ت ث ج ح", 1: "ب ت خ د ر", 2: "ب ت ث ج ز", 3: "ب س ش ص ط"}
