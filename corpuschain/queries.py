@@ -13,7 +13,7 @@ from corpuschain.functions import text as T
 from corpuschain.operators import books, entity, graph, index, overlap, search, skew
 from corpuschain.plans import retrieval
 from corpuschain.sources import io
-from corpuschain.sqltext import bm25_sql, grades_sql, latin_sql, norm_sql, quoted, strip_sql, words_sql
+from corpuschain.sqltext import bm25_sql, grades_sql, latin_sql, lineage_sql, norm_sql, quoted, strip_sql, words_sql
 from corpuschain.streaming import events as stream
 from corpuschain.tables import table, texts
 
@@ -167,10 +167,7 @@ def cited_answer(spark: SparkSession, sf: str) -> DataFrame:
 # -- parallels ------------------------------------------------------------------------------
 
 def overlap_parallels(spark: SparkSession, sf: str) -> DataFrame:
-    """Queries: every report whose id is divisible by 20, against all reports, from the operator's least overlap on.
-
-    The SQL lists those from 0.6 on only, which are the same rows.
-    """
+    """Queries: every report whose id is divisible by 20, against all reports, from the operator's least overlap on."""
     h = texts(spark, sf, "hadith")
     return retrieval.parallels(h, h.where("id % 20 = 0").select("id"))
 
@@ -193,7 +190,6 @@ def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with the smallest one of its group of near copies.
 
     Documents of few distinct words are copies of those with the same words only, those without words of none.
-    The SQL lists documents of ``LEAST`` distinct words or more only, which have the same groups.
     """
     distinct, members = overlap.representatives(_document_sets(spark, sf, 1))
     groups = graph.connected(overlap.similar_pairs(distinct.where(F.size("words") >= LEAST), 0.8)).withColumnRenamed("id", "rep")
@@ -517,6 +513,45 @@ def oracle_sql() -> dict[str, str]:
             WITH m AS (SELECT * FROM hadith WHERE {any_term})
             SELECT 'book_id' AS facet, CAST(book_id AS VARCHAR) AS value, count(*) AS n FROM m WHERE book_id IS NOT NULL GROUP BY ALL
             UNION ALL SELECT 'grade', grade, count(*) FROM m WHERE grade IS NOT NULL GROUP BY ALL""",
+        "kunya_folding": f"""
+            WITH k AS (SELECT seed_id, {words_sql(norm_sql('name'))} AS ws FROM seed)
+            SELECT seed_id, array_to_string(list_transform(ws, lambda x, i: CASE WHEN x = 'ابي' AND coalesce(ws[i + 1], '') = 'بن' THEN x WHEN x IN ('ابو', 'ابا', 'ابي') THEN 'ابو' ELSE x END), ' ') AS folded FROM k""",
+        "hash_embed": f"""
+            WITH w AS (SELECT id, unnest({words['matn']}) AS w FROM hadith), c AS (SELECT id, CAST('0x' || right(md5(w), 2) AS INT) AS bucket, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY ALL)
+            SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM c""",
+        "hybrid_topk": f"""
+            WITH q AS MATERIALIZED (SELECT CAST(v AS DOUBLE[]) AS qv FROM vec ORDER BY id LIMIT 1),
+            v AS MATERIALIZED (SELECT id, CAST(v AS DOUBLE[]) AS v FROM vec WHERE len(v) = (SELECT len(qv) FROM q) AND id IN (SELECT id FROM hadith WHERE {body})),
+            a AS (SELECT id, round(list_dot_product(v, qv), 6) AS s FROM v, q), b AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM a),
+            l AS ({bm25_sql("hadith", words, SEARCHED, search.WEIGHTS, "or", body, 80)}),
+            r AS (SELECT id, rank FROM l UNION ALL SELECT id, rank FROM b WHERE rank <= 80)
+            SELECT id, sum(1.0 / (60 + rank)) AS score FROM r GROUP BY id ORDER BY score DESC, id LIMIT {TOP}""",
+        "block_pairs": f"""
+            WITH n AS (SELECT min(entry_id) AS id, name FROM (SELECT entry_id, {norm_sql('name')} AS name FROM rijal_entry) WHERE name <> '' GROUP BY name),
+            w AS (SELECT id, {words_sql('name')} AS ws FROM n), l AS (SELECT *, {lineage_sql('ws')} AS line FROM w),
+            k AS (SELECT id, CASE WHEN len(line) > 0 THEN array_to_string(line[1:2], ' ') ELSE array_to_string(ws[1:3], ' ') END AS block, list_distinct(list_filter(ws, lambda x: x NOT IN ('بن', 'ابن'))) AS ts FROM l)
+            SELECT a.id AS a, b.id AS b, len(list_intersect(a.ts, b.ts)) AS shared FROM k a JOIN k b USING (block) WHERE a.id < b.id AND block <> ''""",
+        "collapse_duplicates": f"""
+            WITH RECURSIVE g AS ({grades_sql('rijal_entry', 'entry_id', 'grade_text')}),
+            w AS (SELECT e.entry_id AS k, death_year AS y, nullif({norm_sql('kunya')}, '') AS ku, g.rank AS r, {words_sql(norm_sql('name'))} AS ws FROM rijal_entry e JOIN g ON g.entry_id = e.entry_id),
+            l AS (SELECT *, {lineage_sql('ws')} AS line, list_sort(list_distinct(list_filter(ws, lambda x: x LIKE 'ال%ي' AND len(x) >= 4))) AS nis,
+                         list_sort(list_distinct(list_filter(ws, lambda x: x IN ('الكبير', 'الاكبر', 'الحفيد', 'حفيد', 'الاصغر', 'الصغير', 'الابن', 'الاب', 'الجد')))) AS marks FROM w),
+            e AS (SELECT *, CASE WHEN len(line) > 0 THEN array_to_string(line[1:2], ' ') ELSE array_to_string(ws[1:3], ' ') END AS block FROM l WHERE len(ws) > 0),
+            p AS (SELECT a.k AS a, b.k AS b, least(len(a.line), len(b.line)) AS n, a.line AS la, b.line AS lb, a.marks = b.marks AS same_marks, list_has_any(a.nis, b.nis) AS meet,
+                         len(a.nis) > 0 AND len(b.nis) > 0 AND NOT list_has_any(a.nis, b.nis) AS apart, coalesce((a.r >= 5) <> (b.r >= 5), false) AS clash, coalesce((a.r = 10) <> (b.r = 10), false) AS eras,
+                         abs(a.y - b.y) <= 20 AS near, a.ku = b.ku AS kin,
+                         (a.line, a.nis, a.marks) = (b.line, b.nis, b.marks) AND a.y IS NOT DISTINCT FROM b.y AND a.ku IS NOT DISTINCT FROM b.ku AND a.r IS NOT DISTINCT FROM b.r AS alike
+                  FROM e a JOIN e b ON a.block = b.block AND a.k < b.k),
+            s AS (SELECT a, b FROM p WHERE alike OR (n > 0 AND la[1:n] = lb[1:n] AND same_marks AND NOT apart AND (CASE WHEN meet THEN NOT clash WHEN near IS NOT NULL THEN near WHEN kin IS NOT NULL THEN kin ELSE false END OR (n >= 3 AND NOT clash AND NOT eras)))),
+            d AS (SELECT a, b FROM s UNION SELECT b, a FROM s), c AS (SELECT a AS k, a AS top FROM d UNION SELECT c.k, d.b FROM c JOIN d ON c.top = d.a), m AS (SELECT k, min(top) AS man FROM c GROUP BY k)
+            SELECT entry_id, least(coalesce(man, entry_id), entry_id) AS man FROM rijal_entry LEFT JOIN m ON m.k = entry_id""",
+        "name_lookup": f"""
+            WITH e AS (SELECT entry_id, person_no, {words_sql(norm_sql('name'))} AS ts FROM rijal_entry WHERE len({words_sql(norm_sql('name'))}) > 0),
+            q AS (SELECT min(entry_id) AS q, ts AS qt FROM e GROUP BY ts), f AS (SELECT DISTINCT person_no AS entry, ts FROM e WHERE person_no IS NOT NULL),
+            l AS (SELECT q, entry, CASE WHEN qt[1:len(ts)] = ts AND NOT (len(ts) = 1 AND len(list_distinct(qt)) > 1) THEN [2, len(ts), 0] WHEN ts[1:len(qt)] = qt THEN [1, len(qt), 1]
+                                        WHEN list_filter(ts, lambda x: list_contains(qt, x)) = qt THEN [1, len(qt), 0] END AS level FROM q, f),
+            b AS (SELECT q, entry, max(level) AS level FROM l WHERE level IS NOT NULL GROUP BY ALL), t AS (SELECT *, max(level) OVER (PARTITION BY q) AS best FROM b)
+            SELECT q, entry, CASE WHEN level[1] = 2 THEN 1.0 WHEN level[3] = 1 THEN 0.8 ELSE 0.5 END AS score, count(*) OVER (PARTITION BY q) > 1 AS ambiguous FROM t WHERE level = best""",
         "facets_multi_select": """
             SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE genre IN ('web', 'misc') AND lang IS NOT NULL GROUP BY ALL
             UNION ALL SELECT 'genre', genre, count(*) FROM documents WHERE lower(lang) = 'ar' AND genre IS NOT NULL GROUP BY ALL
@@ -546,7 +581,7 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT id, book_id, slot, len(ws) AS m, unnest(ws) AS word FROM w),
             s AS (SELECT a.id AS q, b.id AS id, any_value(b.book_id) AS book_id, any_value(b.slot) AS slot, count(*) / least(any_value(a.m), any_value(b.m)) AS o
                   FROM t a JOIN t b USING (word) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY a.id, b.id),
-            r AS (SELECT *, row_number() OVER (PARTITION BY q, book_id, slot ORDER BY o DESC, id) AS r FROM s WHERE round(o, 9) >= 0.6)
+            r AS (SELECT *, row_number() OVER (PARTITION BY q, book_id, slot ORDER BY o DESC, id) AS r FROM s WHERE round(o, 9) >= 0.4)
             SELECT q, id, round(o, 3) AS overlap, CASE WHEN round(o, 3) >= 0.85 THEN 'verbatim' WHEN round(o, 3) >= 0.6 THEN 'near' ELSE 'by meaning' END AS label FROM r WHERE r = 1""",
         "near_dup_pairs": f"""
             WITH w AS (SELECT doc_id, list_sort(list_distinct({latin_sql('text')})) AS ws FROM documents), k AS (SELECT min(doc_id) AS id, ws FROM w WHERE len(ws) >= 10 GROUP BY ws),
@@ -554,12 +589,12 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT a.id AS a, b.id AS b, count(*) / least(any_value(a.m), any_value(b.m)) AS o FROM t a JOIN t b USING (word) WHERE a.id < b.id GROUP BY a.id, b.id)
             SELECT a, b, round(o, 6) AS overlap FROM s WHERE round(o, 9) >= 0.8""",
         "near_dup_components": f"""
-            WITH RECURSIVE w AS (SELECT doc_id, list_sort(list_distinct({latin_sql('text')})) AS ws FROM documents), k AS (SELECT min(doc_id) AS id, ws FROM w WHERE len(ws) >= 10 GROUP BY ws),
-            t AS (SELECT id, len(ws) AS m, unnest(ws) AS word FROM k),
+            WITH RECURSIVE w AS (SELECT doc_id, list_sort(list_distinct({latin_sql('text')})) AS ws FROM documents), k AS (SELECT min(doc_id) AS id, ws FROM w WHERE len(ws) > 0 GROUP BY ws),
+            t AS (SELECT id, len(ws) AS m, unnest(ws) AS word FROM k WHERE len(ws) >= 10),
             s AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b USING (word) WHERE a.id < b.id GROUP BY a.id, b.id HAVING round(count(*) / least(any_value(a.m), any_value(b.m)), 9) >= 0.8),
             e AS (SELECT a, b FROM s UNION SELECT b, a FROM s),
             r AS (SELECT id, id AS top FROM k UNION SELECT r.id, e.b FROM r JOIN e ON r.top = e.a), g AS (SELECT id, min(top) AS component FROM r GROUP BY id)
-            SELECT w.doc_id, g.component FROM w JOIN k ON w.ws = k.ws JOIN g ON g.id = k.id""",
+            SELECT w.doc_id, coalesce(g.component, w.doc_id) AS component FROM w LEFT JOIN k ON w.ws = k.ws LEFT JOIN g ON g.id = k.id""",
         "index_build": "SELECT field, term, count(*) AS n_records, CAST(sum(tf) AS BIGINT) AS n_places, CAST(sum(length) AS BIGINT) AS length FROM (SELECT id, field, term, count(*) AS tf, any_value(length) AS length FROM ("
         + " UNION ALL ".join(f"SELECT id, '{f}' AS field, unnest({w}) AS term, {' + '.join(f'coalesce(len({x}), 0)' for x in words.values())} AS length FROM hadith" for f, w in words.items())
         + ") GROUP BY id, field, term) GROUP BY field, term",

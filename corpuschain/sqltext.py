@@ -28,6 +28,17 @@ def words_sql(normalized: str) -> str:
     return f"list_filter(string_split({normalized}, ' '), lambda w: w <> '')"
 
 
+def lineage_sql(ws: str) -> str:
+    """A man's lineage from the list of his name's words: up to the first word of his own description, cut at "son of"."""
+    son = "('بن', 'ابن')"
+    described = f"""list_position(list_transform({ws}, lambda x, i: x NOT IN {son} AND NOT (i > 1 AND {ws}[i - 1] IN {son}) AND (
+        x IN ('ابو', 'ابا', 'ام', 'الكبير', 'الاكبر', 'الحفيد', 'حفيد', 'الاصغر', 'الصغير', 'الابن', 'الاب', 'الجد')
+        OR (x LIKE 'ال%ي' AND len(x) >= 4 AND NOT (i > 1 AND {ws}[i - 1] = 'عبد' AND (i = 2 OR {ws}[i - 2] IN {son}))))), true)"""
+    kept = f"{ws}[1:coalesce(nullif({described}, 0) - 1, len({ws}))]"
+    marked = f"array_to_string(list_transform({kept}, lambda x: CASE WHEN x IN {son} THEN '|' ELSE x END), ' ')"
+    return f"list_filter(list_transform(string_split({marked}, '|'), lambda x: trim(x)), lambda x: x <> '')"
+
+
 def latin_sql(x: str) -> str:
     return words_sql(f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))")
 
