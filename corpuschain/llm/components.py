@@ -44,7 +44,7 @@ def components(pairs: DataFrame, left: str, right: str, vertices: DataFrame | No
     left_over = edges.count()
     rounds: list[DataFrame] = []
     while left_over:
-        parent = _collapse(_select(edges), scratch)
+        parent = _collapse(_select(edges), scratch, f"parent-{len(rounds)}")
         rounds.append(parent)
         edges = scratch.cut(_relabel(edges, parent), "edges")
         left_over = edges.count()
@@ -73,13 +73,14 @@ def _select(edges: DataFrame) -> DataFrame:
     return chosen.join(back, "p").select("u", F.when(root, F.col("u")).otherwise(F.col("p")).alias("p"))
 
 
-def _collapse(parent: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pointer doubling until every node points to its root."""
-    parent = scratch.cut(parent, "parent")
+def _collapse(parent: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Pointer doubling until every node points to its root; ``name`` is that of the tables written, of which the last stays."""
+    parent = scratch.cut(parent, name)
     while True:
         above = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         step = parent.join(above, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
-        step = scratch.cut(step, "step")
+        step = scratch.cut(step, name)
+        scratch.drop(name)
         moved = step.where("moved").limit(1).count()
         parent = step.select("u", "p")
         if not moved:

@@ -31,11 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuschain.functions.text import FOLD_FROM, FOLD_TO
 from corpuschain.llm.visual import DIGITS, LOOK_ALIKES, _prints_as
 from corpuschain.runtime import Scratch
 
-# Spelling variants of Arabic letters; "" drops the letter.
-SPELLINGS = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ؤ": "و", "ة": "ه", "ء": "", "ـ": ""}
+#: Spelling variants of Arabic letters, hamza and kashida dropped.
+SPELLINGS = dict(zip(FOLD_FROM, FOLD_TO)) | {"ء": "", "ـ": ""}
 _TAG = re.compile(r"<[^<>]{0,200}>|&(?:#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8});")
 _LINKED = re.compile(r"\]\([^)\s]*\)")
 
