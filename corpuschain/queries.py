@@ -12,6 +12,7 @@ from corpuschain.functions import grades as G
 from corpuschain.functions import text as T
 from corpuschain.operators import books, entity, graph, index, overlap, search, skew
 from corpuschain.plans import retrieval
+from corpuschain.plans import verdicts as V
 from corpuschain.sources import io
 from corpuschain.sqltext import bm25_sql, grades_sql, latin_sql, lineage_sql, norm_sql, quoted, strip_sql, words_sql
 from corpuschain.streaming import events as stream
@@ -272,6 +273,14 @@ def isnad_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edge_weights(graph.links(named, "id", "pos", "name", "route_start"))
 
 
+def chain_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The ruling on the chain of every report, its narrators looked up among the entries."""
+    entries = table(spark, sf, "rijal_entry")
+    forms = entries.select(F.col("entry_id").alias("entry"), T.words(T.normalize(F.col("name"))).alias("tokens")).where(F.size("tokens") > 0)
+    chains = isnad_chains(spark, sf).withColumnRenamed("id", "chain")
+    return V.verdicts(chains, forms, V.graded_entries(entries, "entry_id", "grade_text", "opinions"))
+
+
 def report_split(spark: SparkSession, sf: str) -> DataFrame:
     """Chain and body joined and taken apart again."""
     h = texts(spark, sf, "hadith")
@@ -444,6 +453,7 @@ def queries() -> dict[str, Query]:
         max_min_strength,
         isnad_chains,
         isnad_edges,
+        chain_verdicts,
         report_split,
         collections_ordered,
         chapter_counts,

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuschain import queries
+from corpuschain.functions import text as T
+from corpuschain.plans import verdicts
 from corpuschain.operators import books, entity, graph, index, overlap, search
 
 VOCAB = [f"w{i}" for i in range(40)]
@@ -246,6 +248,31 @@ def test_different_men_stay_apart(spark):
     assert {x["i"]: x["man"] for x in entity.collapse(df, "i", "n", "y", "k", "r").collect()} == {i: 7 if i == 8 else i for i in range(1, 11)}
 
 
+def test_verdicts(spark):
+    """The Prophet counts as no narrator; a name for two men has a rank where they agree; a gap suspends, an unnamed man weakens."""
+    entries = [
+        (1, "زيد بن عمرو المدني", "ثقة", []), (2, "بكر بن خالد", "صدوق", [("s", "ضعيف")]), (3, "نافع مولى ابن عمر", "ثقة", None),
+        (4, "سالم بن زيد", "ثقة", []), (5, "سالم بن عمر", "ثقة", []), (6, "حماد بن زيد", "ثقة", []), (7, "حماد بن سلمة", "ضعيف", []), (8, "لا حكم فيه", None, []),
+    ]
+    e = spark.createDataFrame(entries, "i bigint, n string, g string, o array<struct<source:string,grade:string>>")
+    forms = e.select(F.col("i").alias("entry"), T.words(T.normalize(F.col("n"))).alias("tokens"))
+    graded = verdicts.graded_entries(e, "i", "g", "o")
+    ranks = {r["entry"]: r["rank"] for r in graded.collect()}
+    assert ranks[1] == 9 and ranks[2] == 2 and ranks[3] == 9 and ranks[8] is None
+    chains = {
+        1: [("زيد بن عمرو", "heard"), ("نافع", "heard"), ("رسول الله", "head")], 2: [("زيد بن عمرو", "heard"), ("نافع", "from")], 3: [("زيد بن عمرو", "heard"), ("بكر بن خالد", "heard")],
+        4: [("زيد بن عمرو", "heard"), ("غريب", "heard")], 5: [("زيد بن عمرو", "heard"), ("رجل", "heard")], 6: [("سالم", "heard")], 7: [("حماد", "heard")], 8: [("النبي", "head")],
+    }
+    rows = [(c, p, n, v, False) for c, names in chains.items() for p, (n, v) in enumerate(names)]
+    df = spark.createDataFrame(rows, "chain bigint, pos int, name string, via string, route_start boolean")
+    got = {r["chain"]: tuple(r)[1:] for r in verdicts.verdicts(df, forms, graded).collect()}
+    assert got == {
+        1: (9, 2, 0, 0, 2, 1, "sound"), 2: (9, 2, 0, 0, 1, 1, "sound if hearing is confirmed"), 3: (2, 2, 0, 0, 1, 0, "weak"), 4: (9, 1, 1, 0, 1, 0, "suspended"),
+        5: (9, 1, 0, 1, 1, 0, "weak"), 6: (9, 1, 0, 0, 0, 0, "sound"), 7: (None, 0, 1, 0, 0, 0, "not ruled"),
+    }
+    assert verdicts.verdicts(df.limit(0), forms, graded).count() == 0
+
+
 def test_stored_index(spark, tmp_path):
     """Scores are those of the table itself; a search reads the folders of its terms only."""
     rng = random.Random(5)
