@@ -193,7 +193,7 @@ def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
     Documents of few distinct words are copies of those with the same words only, those without words of none.
     """
     distinct, members = overlap.representatives(_document_sets(spark, sf, 1))
-    groups = graph.connected(overlap.similar_pairs(distinct.where(F.size("words") >= LEAST), 0.8)).withColumnRenamed("id", "rep")
+    groups = graph.connected(overlap.similar_links(distinct.where(F.size("words") >= LEAST), 0.8)).withColumnRenamed("id", "rep")
     found = table(spark, sf, "documents").select("doc_id").join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(groups, "rep", "left")
     return found.select("doc_id", F.coalesce("component", "rep", "doc_id").alias("component"))
 

@@ -122,6 +122,17 @@ def test_candidates_are_not_shuffled(spark):
     assert "CartesianProduct" in plan and "Exchange" not in plan
 
 
+def test_similar_links_are_a_forest(spark):
+    """Fifty near copies have over a thousand pairs and are linked by 49; the groups are those of all pairs."""
+    d = {i: [*VOCAB[:30], f"x{i}"] for i in range(50)} | {i: [*VOCAB[i % 7 : 14 + i % 3], f"y{i}"] for i in range(100, 130)}
+    distinct, _ = overlap.representatives(overlap.word_sets(frame(spark, d), "id", F.col("words"), 2).coalesce(1))
+    pairs, links = (f(distinct.coalesce(1), 0.8) for f in (overlap.similar_pairs, overlap.similar_links))
+    groups = [{tuple(r) for r in graph.connected(x).collect()} for x in (pairs, links)]
+    found, every = {tuple(r) for r in links.collect()}, {(r["a"], r["b"]) for r in pairs.collect()}
+    assert len(every) > 1225 and found <= every and groups[0] == groups[1]
+    assert len(found) == len(groups[0]) - len({top for _, top in groups[0]})
+
+
 def test_against_and_leaders(spark):
     d = docs(40, 5)
     sets = overlap.word_sets(frame(spark, d), "id", F.col("words"))
